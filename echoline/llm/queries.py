@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoline.llm import format_duplicates, shared_spans
+from echoline.llm import format_duplicates, packing, shared_spans, tokenizing
 from echoline.session import materialize, table
 
 
@@ -24,3 +27,29 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     files = table(spark, directory, "prepared_files")
     return shared_spans.shared_spans(files, "file_id", "normalized", min_lines=8).withColumnRenamed("id", "file_id")
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A file of the public tokenizers' folder, which the environment may name."""
+    return os.path.join(os.environ.get("ECHOLINE_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
+    return tokenizing.encode(table(spark, directory, "documents"), "doc_id", "text", tokenizer_file()).withColumnRenamed("id", "doc_id")
+
+
+def _sizes(spark: SparkSession, directory: str) -> tuple[DataFrame, list[tuple[str, int]]]:
+    counts = tokenizing.token_counts(table(spark, directory, "documents"), "doc_id", "text", tokenizer_file())
+    return counts, [(r["pack_class"], r["capacity"]) for r in table(spark, directory, "pack_sizes").collect()]
+
+
+def p7_containers(spark: SparkSession, directory: str) -> DataFrame:
+    """One packing of all documents into containers of all classes, chosen jointly."""
+    return packing.pack(*_sizes(spark, directory)).withColumnRenamed("id", "doc_id")
+
+
+def p7_by_class(spark: SparkSession, directory: str) -> DataFrame:
+    """A packing of all documents for each class, into containers of that class alone."""
+    counts, classes = _sizes(spark, directory)
+    counts = materialize(counts, "pack-sizes")
+    return reduce(DataFrame.unionByName, [packing.pack(counts, [c]) for c in classes]).withColumnRenamed("id", "doc_id")
