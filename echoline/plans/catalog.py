@@ -5,5 +5,10 @@ from __future__ import annotations
 from echoline.plans import oracles, reports
 
 FLAGSHIP = "p2_found"
-QUERIES = {"p2_found": reports.p2_found}
+QUERIES = {
+    "p1_found": reports.p1_found,
+    "p1_types": reports.p1_types,
+    "p1_table": reports.p1_table,
+    "p2_found": reports.p2_found,
+}
 ORACLES: dict[str, str] = {"p2_found": oracles.p2_found()}
