@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoline.llm import format_duplicates, packing, shared_spans, tokenizing
+from echoline.llm import foreign_source, format_duplicates, packing, shared_spans, tokenizing
 from echoline.session import materialize, table
 
 
@@ -53,3 +53,8 @@ def p7_by_class(spark: SparkSession, directory: str) -> DataFrame:
     counts, classes = _sizes(spark, directory)
     counts = materialize(counts, "pack-sizes")
     return reduce(DataFrame.unionByName, [packing.pack(counts, [c]) for c in classes]).withColumnRenamed("id", "doc_id")
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    kinds = foreign_source.classify(table(spark, directory, "source_files"), table(spark, directory, "packages"))
+    return kinds.withColumnRenamed("id", "file_id")
