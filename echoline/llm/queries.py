@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoline.llm import foreign_source, format_duplicates, packing, shared_spans, tokenizing
+from echoline.llm import foreign_source, format_duplicates, packing, shared_spans, subjects, tokenizing
 from echoline.session import materialize, table
 
 
@@ -58,3 +58,8 @@ def p7_by_class(spark: SparkSession, directory: str) -> DataFrame:
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     kinds = foreign_source.classify(table(spark, directory, "source_files"), table(spark, directory, "packages"))
     return kinds.withColumnRenamed("id", "file_id")
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    found = subjects.subjects_of(table(spark, directory, "documents"), table(spark, directory, "subject_labels"), table(spark, directory, "subject_areas"))
+    return found.select(F.col("id").alias("doc_id"), "subject")
