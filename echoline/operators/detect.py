@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoline.functions.fingerprint import finding_fingerprint
+from echoline.functions.fingerprint import TOOL, baseline_fingerprint, finding_fingerprint
 from echoline.session import materialize
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -178,14 +178,28 @@ def without_overlaps(found: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "file_id", F.inline(kept))
 
 
-def with_text(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Occurrences with the fingerprint of their lines and how many of these are effective."""
+def _folded(name: str) -> Column:
+    """The value all lines have, 'mixed' if they differ; lines without one don't count."""
+    return F.when(F.min(name) == F.max(name), F.min(name)).when(F.count(name) > 0, F.lit("mixed"))
+
+
+def with_text(found: DataFrame, lines: DataFrame, tool: str = TOOL) -> DataFrame:
+    """Occurrences with the fingerprints of their lines, how many of these are effective, and, where the
+    lines have them, source lines (from 1), context and scope."""
     each = found.select("file_id", "nstart", "nlen", "prev", "next", F.explode(F.sequence("nstart", F.col("nstart") + F.col("nlen") - 1)).alias("nline"))
-    read = each.join(lines.select("file_id", "nline", "text", "effective"), ["file_id", "nline"])
+    extras = [c for c in ("source_line", "context", "scope") if c in lines.columns]
+    read = each.join(lines.select("file_id", "nline", "text", "effective", *extras), ["file_id", "nline"])
+    more = [_folded(c).alias(c) for c in extras if c != "source_line"]
+    if "source_line" in extras:
+        more += [(F.min("source_line") + 1).cast("bigint").alias("start_line"), (F.max("source_line") + 1).cast("bigint").alias("end_line")]
     whole = read.groupBy("file_id", "nstart", "nlen", "prev", "next").agg(
-        F.count_if("effective").cast("int").alias("effective_lines"), F.sort_array(F.collect_list(F.struct("nline", "text")))["text"].alias("_texts")
+        F.count_if("effective").cast("int").alias("effective_lines"), F.sort_array(F.collect_list(F.struct("nline", "text")))["text"].alias("_texts"), *more
     )
-    return whole.withColumn("fingerprint", finding_fingerprint(F.col("_texts"), F.col("effective_lines"), F.col("nlen"))).drop("_texts")
+    both = {
+        "fingerprint": finding_fingerprint(F.col("_texts"), F.col("effective_lines"), F.col("nlen"), tool),
+        "baseline_fingerprint": baseline_fingerprint(F.col("_texts"), F.col("effective_lines"), tool),
+    }
+    return whole.withColumns(both).drop("_texts")
 
 
 def contained(groups: DataFrame) -> DataFrame:
@@ -206,24 +220,25 @@ def contained(groups: DataFrame) -> DataFrame:
     return held.where(F.col("count") == F.col("size")).select(F.col("small").alias("fingerprint")).distinct()
 
 
-def candidates(lines: DataFrame, min_lines: int = 4, same_file: bool = True) -> DataFrame:
-    """Groups before containment: fingerprint, effective_lines, nlen, file_id, nstart of every occurrence."""
+def candidates(lines: DataFrame, min_lines: int = 4, same_file: bool = True, tool: str = TOOL) -> DataFrame:
+    """Every occurrence of every group before containment; columns as in detect."""
     validate_min_lines(min_lines)
     segs = materialize(segments(lines), "detect-segments")
     seeded = seeds(segs, min_lines)
     made = materialize(blocks(segs, seeded, repeated_seeds(seeded), min_lines), "detect-blocks")
     found = made.join(_qualified(made.groupBy(*CLASS), same_file), CLASS, "left_semi")
     kept = without_overlaps(found, CLASS)
-    told = materialize(with_text(kept.select("file_id", "nstart", "nlen", "prev", "next"), lines), "detect-occurrences")
+    told = materialize(with_text(kept.select("file_id", "nstart", "nlen", "prev", "next"), lines, tool), "detect-occurrences")
     told = told.where(F.col("effective_lines") >= min_lines)
-    return told.join(_qualified(told.groupBy("fingerprint"), same_file), "fingerprint", "left_semi").select("fingerprint", "effective_lines", "nlen", "file_id", "nstart")
+    return told.join(_qualified(told.groupBy("fingerprint"), same_file), "fingerprint", "left_semi").drop("prev", "next")
 
 
-def detect(lines: DataFrame, min_lines: int = 4, same_file: bool = True) -> DataFrame:
-    """Every occurrence of every reported group: fingerprint, effective_lines, nlen, file_id, nstart.
+def detect(lines: DataFrame, min_lines: int = 4, same_file: bool = True, tool: str = TOOL) -> DataFrame:
+    """Every occurrence of every reported group: fingerprint, baseline_fingerprint, effective_lines, nlen,
+    file_id, nstart and, where lines have source_line, context and scope, start_line, end_line, context, scope.
 
     lines: file_id, nline (dense in a file), segment_id, text, effective. Blocks never cross a segment.
     An empty corpus has no groups; lines must be unique by file_id and nline.
     """
-    groups = materialize(candidates(lines, min_lines, same_file), "detect-groups")
+    groups = materialize(candidates(lines, min_lines, same_file, tool), "detect-groups")
     return groups.join(contained(groups), "fingerprint", "left_anti")
