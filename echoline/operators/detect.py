@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,6 @@ from echoline.functions.fingerprint import TOOL, baseline_fingerprint, finding_f
 from echoline.session import materialize
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_NONE = np.int64(0)
 
 
 def validate_min_lines(min_lines: int) -> None:
@@ -66,31 +65,37 @@ def _digest(prefix: np.ndarray, powers: np.ndarray, start: np.ndarray, length: n
 SEED_SCHEMA = "file_id bigint, segment_id int, pos int, s1 bigint, s2 bigint, prev bigint"
 
 
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, one list after the other, and where each list begins and ends."""
+    lists = batch.column(name)
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... counts[0] - 1, 0, 1, ... counts[1] - 1, and so on."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _seeds(min_lines: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for file_id, segment_id, t1, t2 in zip(batch["file_id"], batch["segment_id"], batch["t1"], batch["t2"], strict=True):
-                t1, t2 = np.asarray(t1, np.int64), np.asarray(t2, np.int64)
-                n = len(t1) - min_lines + 1
-                if n < 1:
-                    continue
-                pos = np.arange(n)
-                length = np.full(n, min_lines)
-                prev = pd.array(np.concatenate([[_NONE], t1[: n - 1]]), dtype="Int64")
-                prev[0] = pd.NA
-                part = {"file_id": file_id, "segment_id": segment_id, "pos": pos.astype(np.int32)}
-                part |= {"s1": _digest(*_prefixes(t1, _B1), pos, length), "s2": _digest(*_prefixes(t2, _B2), pos, length), "prev": prev}
-                parts.append(pd.DataFrame(part))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            (t1, offsets), (t2, _) = _lists(batch, "t1"), _lists(batch, "t2")
+            counts = np.maximum(np.diff(offsets) - min_lines + 1, 0)
+            owner, pos = np.repeat(np.arange(len(counts)), counts), _within(counts)
+            start = offsets[:-1][owner] + pos
+            length = np.full(len(start), min_lines)
+            prev = pa.array(t1[np.maximum(start - 1, 0)] if len(start) else t1[:0], mask=pos == 0)
+            s1, s2 = (_digest(*_prefixes(t, base), start, length) for t, base in ((t1, _B1), (t2, _B2)))
+            columns = [batch.column("file_id").take(pa.array(owner)), batch.column("segment_id").take(pa.array(owner)), pa.array(pos.astype(np.int32)), pa.array(s1), pa.array(s2), prev]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_id", "segment_id", "pos", "s1", "s2", "prev"])
 
     return run
 
 
 def seeds(segs: DataFrame, min_lines: int) -> DataFrame:
     """Every run of min_lines lines inside a segment, with its digests and the line before (null at a segment's start)."""
-    return segs.select("file_id", "segment_id", "t1", "t2").mapInPandas(_seeds(min_lines), SEED_SCHEMA)
+    return segs.select("file_id", "segment_id", "t1", "t2").mapInArrow(_seeds(min_lines), SEED_SCHEMA)
 
 
 def _all_same(name: str) -> Column:
@@ -106,34 +111,31 @@ def repeated_seeds(seeded: DataFrame) -> DataFrame:
 BLOCK_SCHEMA = "file_id bigint, nstart int, nlen int, d1 bigint, d2 bigint, prev bigint, next bigint"
 
 
-def _blocks(min_lines: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(min_lines: int, most: int = 1 << 19):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = zip(batch["file_id"], batch["first"], batch["t1"], batch["t2"], batch["places"], strict=True)
-            for file_id, first, t1, t2, places in columns:
-                t1, t2 = np.asarray(t1, np.int64), np.asarray(t2, np.int64)
-                pos = np.array([p["pos"] for p in places], np.int64)
-                is_open = np.array([p["open"] for p in places], bool)
-                # the last position of the run of repeated seeds that each belongs to
-                breaks = np.append(np.diff(pos) != 1, True)
-                ends = pos[breaks][np.cumsum(np.concatenate([[0], breaks[:-1]])).astype(int)]
-                pos, ends = pos[is_open], ends[is_open]
-                if not len(pos):
-                    continue
-                (p1, w1), (p2, w2) = _prefixes(t1, _B1), _prefixes(t2, _B2)
-                for a in range(0, len(pos), 256):
-                    some, last = pos[a : a + 256], ends[a : a + 256]
-                    counts = last - some + 1
-                    start = np.repeat(some, counts)
-                    length = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + min_lines
-                    stop = start + length
-                    prev = pd.array(t1[np.maximum(start - 1, 0)], dtype="Int64")
-                    prev[start == 0] = pd.NA
-                    after = pd.array(t1[np.minimum(stop, len(t1) - 1)], dtype="Int64")
-                    after[stop == len(t1)] = pd.NA
-                    part = {"file_id": file_id, "nstart": (first + start).astype(np.int32), "nlen": length.astype(np.int32)}
-                    part |= {"d1": _digest(p1, w1, start, length), "d2": _digest(p2, w2, start, length), "prev": prev, "next": after}
-                    yield pd.DataFrame(part)
+            (t1, offsets), (t2, _) = _lists(batch, "t1"), _lists(batch, "t2")
+            (pos, held), (is_open, _) = _lists(batch, "pos"), _lists(batch, "open")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(held))
+            start = offsets[:-1][owner] + pos
+            # the last position of the run of repeated seeds that each belongs to
+            breaks = np.append((np.diff(start) != 1) | (np.diff(owner) != 0), True)
+            ends = start[breaks][np.cumsum(np.concatenate([[0], breaks[:-1]])).astype(int)]
+            keep = is_open.astype(bool)
+            start, ends, owner = start[keep], ends[keep], owner[keep]
+            first, files = batch.column("first").to_numpy(), batch.column("file_id").to_numpy()
+            prefixes = [(_prefixes(t, base)) for t, base in ((t1, _B1), (t2, _B2))]
+            parts = np.cumsum(ends - start + 1) // most
+            for part in np.unique(parts):
+                a, z, o = start[parts == part], ends[parts == part], owner[parts == part]
+                counts = z - a + 1
+                at, whose, length = np.repeat(a, counts), np.repeat(o, counts), _within(counts) + min_lines
+                begin, stop, end = offsets[whose], at + length, offsets[whose + 1]
+                prev = pa.array(t1[np.maximum(at - 1, 0)], mask=at == begin)
+                after = pa.array(t1[np.minimum(stop, len(t1) - 1)], mask=stop == end)
+                d1, d2 = (_digest(*x, at, length) for x in prefixes)
+                columns = [pa.array(files[whose]), pa.array((first[whose] + at - begin).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(d1), pa.array(d2), prev, after]
+                yield pa.RecordBatch.from_arrays(columns, names=["file_id", "nstart", "nlen", "d1", "d2", "prev", "next"])
 
     return run
 
@@ -143,7 +145,8 @@ def blocks(segs: DataFrame, seeded: DataFrame, repeated: DataFrame, min_lines: i
     there = seeded.select("file_id", "segment_id", "pos", "s1", "s2").join(repeated, ["s1", "s2"])
     places = there.groupBy("file_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("pos", "open"))).alias("places"), F.max("open").alias("any"))
     held = segs.join(places.where("any").drop("any"), ["file_id", "segment_id"])
-    return held.select("file_id", "first", "t1", "t2", "places").mapInPandas(_blocks(min_lines), BLOCK_SCHEMA)
+    places = (F.col("places.pos").alias("pos"), F.col("places.open").alias("open"))
+    return held.select("file_id", "first", "t1", "t2", *places).mapInArrow(_blocks(min_lines), BLOCK_SCHEMA)
 
 
 CLASS = ["nlen", "d1", "d2"]

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from echoline.plans import oracles, reports
+from echoline.plans import oracles, reports, scan, scan_oracles
 
-FLAGSHIP = "p2_found"
-QUERIES = {
-    "p1_found": reports.p1_found,
-    "p1_types": reports.p1_types,
-    "p1_table": reports.p1_table,
-    "p2_found": reports.p2_found,
-}
-ORACLES: dict[str, str] = {"p2_found": oracles.p2_found()}
+FLAGSHIP = "duplicate_groups"
+REPORTS = ("p1_found", "p1_types", "p1_table", "p2_found")
+QUERIES = {name: getattr(reports, name) for name in REPORTS} | {name: getattr(scan, name) for name in scan.names()}
+ORACLES = {"p2_found": oracles.p2_found()} | scan_oracles.ORACLES
