@@ -53,7 +53,7 @@ THIRD_PARTY = re.compile(
 
 #: Limits of the layout tests, as parameters of one place.
 WIDTH, MINIFIED_LINES, MINIFIED_NAME, MINIFIED_CHARS = 100, 4.0, 3.0, 200
-DATA_SHARE = 0.6
+DATA_SHARE, DATA_CHARS = 0.6, 200
 UNIFORM_SHARE, UNIFORM_LINES, LONGEST_PERIOD = 0.3, 7, 12
 KNOWN_SHARE, LINE_CHARS, KNOWN_LINES = 0.5, 16, 4
 
@@ -149,7 +149,7 @@ class Layout:
         return found
 
     def is_data(self) -> bool:
-        if not self.chars:
+        if self.data < DATA_CHARS:
             return False
         share = self.data / max(1, self.chars - sum(len(t) for k, t in self.flat if k == "sign" and t in ",[](){}:-\\"))
         return share >= DATA_SHARE and not self.logic()

@@ -136,7 +136,7 @@ def _seed(matrix: DataFrame, labels: DataFrame, subjects: dict[str, str], option
     prior = (per_subject + 1) / (n + len(areas))
     seen = labelled[:, -1:]
     share = (labelled[:, :-1] + 2 * prior) / (seen + 2)
-    telling = (share >= 0.35) & (share >= 2 * prior) & (seen >= 2)
+    telling = (share >= 0.35) & (share >= np.minimum(2 * prior, (1 + prior) / 2)) & (seen >= 2)
     frequency = occurrences.sum(1, keepdims=True) / max(occurrences.sum(), 1)
     anchored = np.where(telling, frequency * share**2, 1e-3 * frequency)
     in_language = documents[:, : len(sizes)] / np.maximum(np.array([list(sizes.values())], float), 1)
