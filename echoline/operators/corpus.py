@@ -68,5 +68,5 @@ def suffixes(stream: DataFrame) -> DataFrame:
     ranked = numbered(cut, ["suffix"], "rank")
     before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("suffix").alias("_before"))
     differ = F.array_position(F.zip_with("suffix", "_before", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
-    lcp = F.when(differ > 0, differ - 1).otherwise(F.least(F.size("suffix"), F.size("_before")))
+    lcp = F.when(F.col("_before").isNull(), 0).when(differ > 0, differ - 1).otherwise(F.least(F.size("suffix"), F.size("_before")))
     return ranked.join(before, "rank", "left").select("pos", "rank", F.coalesce(lcp, F.lit(0)).cast("bigint").alias("lcp"))
