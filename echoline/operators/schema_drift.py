@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.session import materialize
+from echoline.session import materialize, spread
 
 #: Run numbers of one block of a feed, and so the most files of one.
 BLOCK_RUNS = 512
@@ -135,7 +135,7 @@ def signatures(files: DataFrame, payload: str, repeated: str) -> DataFrame:
         F.col(payload).alias("payload"),
     ).where("payload IS NOT NULL AND run_no IS NOT NULL")
     first = F.struct(F.coalesce("received_at", F.lit("9999-01-01").cast("timestamp_ntz")), "delivery_id")
-    return rows.mapInPandas(read, SIGNATURE_SCHEMA).groupBy("feed", "run_no").agg(F.min_by(F.struct("fields", "items"), first).alias("s")).select("feed", "run_no", "s.*")
+    return spread(rows).mapInPandas(read, SIGNATURE_SCHEMA).groupBy("feed", "run_no").agg(F.min_by(F.struct("fields", "items"), first).alias("s")).select("feed", "run_no", "s.*")
 
 
 class Names:
@@ -400,5 +400,5 @@ def consistent_table(files: DataFrame, names: Names, types: dict[str, str], payl
     if inner:
         columns.append(f"`{names.repeated}`: array<struct<{', '.join(f'`{p}`: {SPARK_TYPES[t]}' for p, t in inner.items())}>>")
     rows = files.select("delivery_id", "feed", "run_no", F.col(payload).alias("payload"))
-    text = rows.mapInPandas(read, "delivery_id bigint, feed string, run_no int, row string")
+    text = spread(rows).mapInPandas(read, "delivery_id bigint, feed string, run_no int, row string")
     return text.select("delivery_id", "feed", "run_no", F.from_json("row", f"struct<{', '.join(columns)}>").alias("r")).select("delivery_id", "feed", "run_no", "r.*")

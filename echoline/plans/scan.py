@@ -33,7 +33,8 @@ def texts_of(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def groups_of(spark: SparkSession, directory: str, min_lines: int = 4, same_file: bool = True) -> DataFrame:
-    return materialize(detect.detect(lines_of(spark, directory), min_lines, same_file), "query-groups")
+    lines = materialize(lines_of(spark, directory), "query-lines")  # read twice, so rows are made unique once
+    return materialize(detect.detect(lines, min_lines, same_file), "query-groups")
 
 
 def _shape(groups: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def duplicate_occurrences(spark: SparkSession, d: str) -> DataFrame:
 
 def text_groups(spark: SparkSession, d: str) -> DataFrame:
     """Repeated blocks of documents, whose lines are taken as they are."""
-    return _shape(detect.detect(textprep.normalized_lines(texts_of(spark, d))))
+    return _shape(detect.detect(materialize(textprep.normalized_lines(texts_of(spark, d)), "query-lines")))
 
 
 def finding_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -43,6 +43,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where a scan of few or small files would leave most of them idle.
+
+    Meant for work that costs far more than moving the rows. A plan with shuffles, or one that has enough
+    partitions already, as any large table has, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "AdaptiveSparkPlan" in plan or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+_WRITTEN: list[str] = []
+
+
+def _clean(spark: SparkSession) -> None:
+    """Remove what materialize wrote, when the driver's Python ends."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _WRITTEN:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    except Exception:  # the JVM may be gone
+        pass
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
@@ -50,5 +77,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clean, spark)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echoline.session import spread
+
 #: Unicode White_Space (fixed values); Python's strip takes U+001C to U+001F as well.
 _BLANK = "\t\n\v\f\r \x85\xa0                　"
 _EFFECTIVE = regex.compile(r"[\p{Alphabetic}\p{N}_]")
@@ -283,7 +285,7 @@ def prepared(files: DataFrame, options: NormalizationOptions | None = None, dire
             yield pd.DataFrame({"file_id": batch["file_id"], "path": batch["path"], "source_lines": counts, "lines": lines, "error": errors})
 
     wanted = ["file_id", "path", "source", *(names if option_columns else [])]
-    return files.select(*wanted).mapInPandas(run, PREPARED_SCHEMA)
+    return spread(files.select(*wanted)).mapInPandas(run, PREPARED_SCHEMA)
 
 
 def prepared_files(done: DataFrame) -> DataFrame:
