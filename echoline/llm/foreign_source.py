@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.session import materialize
+from echoline.session import materialize, spread
 
 TOKEN = re.compile(
     r"""(?P<space>[^\S\n]+)|(?P<line>\n)|(?P<note>\#[^\n]*|//[^\n]*|/\*.*?(?:\*/|\Z))
@@ -219,7 +219,7 @@ def _lexed(files: DataFrame, id_column: str, path_column: str, source_column: st
             yield pd.DataFrame({"id": batch["id"], "kind": kinds, "digests": digests})
 
     rows = files.select(F.col(id_column).cast("bigint").alias("id"), F.col(path_column).alias("path"), F.col(source_column).alias("source"))
-    return rows.mapInPandas(run, LEXED_SCHEMA)
+    return spread(rows).mapInPandas(run, LEXED_SCHEMA)
 
 
 def classify(files: DataFrame, packages: DataFrame, id_column: str = "file_id", path_column: str = "path", source_column: str = "source") -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoline.session import materialize
+from echoline.session import materialize, spread
 
 #: Multipliers of the polynomial digests: odd constants, so multiplication loses no bits.
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -97,7 +97,7 @@ def shared_windows(records: DataFrame, id_column: str, text_column: str, min_lin
         raise ValueError("min_lines must be 1 or more")
     seed = seed or max(1, min_lines // 2)
     texts = records.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
-    seeds = materialize(texts.mapInPandas(lambda batches: _seeds(batches, min_lines, seed), WINDOW_SCHEMA), "span-seeds")
+    seeds = materialize(spread(texts).mapInPandas(lambda batches: _seeds(batches, min_lines, seed), WINDOW_SCHEMA), "span-seeds")
     extended = in_several(seeds, ["anchor"]).select("id", "start", "w1", "w2")
     return in_several(extended, ["w1", "w2"]).select("id", "start")
 

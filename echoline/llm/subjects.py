@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.session import materialize
+from echoline.session import materialize, spread
 
 #: Words, cut at changes of letter case within identifiers.
 ASCII_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", re.A)
@@ -76,7 +76,7 @@ def _document_terms(documents: DataFrame, id_column: str, text_column: str, lang
 
     language = F.coalesce(F.col(language_column).cast("string"), F.lit("")) if language_column else F.lit("")
     rows = documents.select(F.col(id_column).cast("bigint").alias("id"), language.alias("language"), F.col(text_column).alias("text")).where("text IS NOT NULL AND text <> ''")
-    return rows.mapInArrow(run, "id bigint, language string, terms array<string>, counts array<int>")
+    return spread(rows).mapInArrow(run, "id bigint, language string, terms array<string>, counts array<int>")
 
 
 @dataclass

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echoline.session import spread
+
 #: The word pattern of the byte-level tokenizers (fixed value), and what it means for ASCII text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_WORDS = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
@@ -174,7 +176,7 @@ def _counts(encoder: Encoder, words: list[list[str]]) -> pa.Array:
 
 
 def _texts(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    return spread(documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
 
 
 def encode(documents: DataFrame, id_column: str, text_column: str, path: str) -> DataFrame:
