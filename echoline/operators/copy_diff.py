@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from echoline.functions.text import strip_blank
 from echoline.session import materialize
@@ -107,29 +108,35 @@ def _mismatched_leaves(rows: DataFrame, keys: list[str], bits: int) -> DataFrame
     return open_ranges.select(F.col("_range").alias("_leaf"))
 
 
+def _renamed(df: DataFrame, names: dict[str, str], version: str, types: dict[str, DataType]) -> DataFrame:
+    """Names of our own, so that a column of any name can be compared; a column df lacks is null."""
+    there = {c: F.col(f"`{c}`") for c in df.columns}
+    return df.select(*[there.get(c, F.lit(None).cast(types[c])).alias(own) for c, own in names.items()], there[version].alias("v"))
+
+
 def compare_copies(left: DataFrame, right: DataFrame, spec: CopySpec, missing_left: str = "missing_in_left", missing_right: str = "missing_in_right") -> DataFrame:
     """One row per record that one side lacks and per column whose values differ.
 
     Result: the keys, field_name ('*' where a whole record is missing) and diff_kind (missing_left,
-    missing_right or 'differs'). Columns that only one side has are compared with null; columns
-    other than those named are never needed. Empty tables give a row per record of the other side.
+    missing_right or 'differs'). All columns but keys and version are compared, whatever their names; one
+    that only one side has is compared with null. Empty tables give a row per record of the other side.
     """
-    keys = list(spec.keys)
-    columns = [c for c in left.columns if c not in (*keys, spec.version)]
-    columns += [c for c in right.columns if c not in (*keys, spec.version, *columns)]
-    for c in columns:
-        if c not in left.columns:
-            left = left.withColumn(c, F.lit(None).cast(right.schema[c].dataType))
-        if c not in right.columns:
-            right = right.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
+    types = {f.name: f.dataType for df in (right, left) for f in df.schema}
+    keys = [f"k{i}" for i in range(len(spec.keys))]
+    compared = [c for c in dict.fromkeys([*left.columns, *right.columns]) if c not in (*spec.keys, spec.version)]
+    columns = {f"c{i}": c for i, c in enumerate(compared)}
+    names = dict(zip(spec.keys, keys, strict=True)) | {c: own for own, c in columns.items()}
+    own = lambda group: tuple(names[c] for c in group if c in names)
+    inner = CopySpec(tuple(keys), "v", own(spec.folded_keys), own(spec.unordered), own(spec.seconds), {names[c]: t for c, t in spec.tolerance.items() if c in names}, spec.leaf_rows)
+    left, right = (_renamed(df, names, spec.version, types) for df in (left, right))
     n = max(left.count(), right.count(), 1)
     steps = min(MAX_STEPS, max(0, math.ceil(math.log2(max(1, n / spec.leaf_rows)) / STEP_BITS)))
     bits = steps * STEP_BITS
-    rows = _side(left, columns, spec, 0, bits).unionByName(_side(right, columns, spec, 1, bits))
+    rows = _side(left, list(columns), inner, 0, bits).unionByName(_side(right, list(columns), inner, 1, bits))
     slim = rows.select("_side", "_leaf", "_h1", "_h2", "_version", *keys)
     leaves = _mismatched_leaves(slim, keys, bits)
 
-    value = F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(True).alias("_there"))
+    value = F.struct(*columns, F.lit(True).alias("_there"))
     pairs = (
         rows.join(leaves, "_leaf", "left_semi")
         .groupBy("_leaf", *keys)
@@ -137,12 +144,12 @@ def compare_copies(left: DataFrame, right: DataFrame, spec: CopySpec, missing_le
     )
 
     def differs(c: str) -> Column:
-        a, b = F.col(f"_a.`{c}`"), F.col(f"_b.`{c}`")
-        if c in spec.tolerance:
-            return ~a.eqNullSafe(b) & F.coalesce(F.abs(a - b) > spec.tolerance[c], F.lit(True))
+        a, b = F.col(f"_a.{c}"), F.col(f"_b.{c}")
+        if c in inner.tolerance:
+            return ~a.eqNullSafe(b) & F.coalesce(F.abs(a - b) > inner.tolerance[c], F.lit(True))
         return ~a.eqNullSafe(b)
 
-    found = F.array_compact(F.array(*[F.when(differs(c), F.struct(F.lit(c).alias("field_name"), F.lit("differs").alias("diff_kind"))) for c in columns]))
-    whole = lambda kind: F.array(F.struct(F.lit("*").alias("field_name"), F.lit(kind).alias("diff_kind")))
-    each = F.when(F.col("_a").isNull(), whole(missing_left)).when(F.col("_b").isNull(), whole(missing_right)).otherwise(found)
-    return pairs.select(*keys, F.inline(each))
+    case = lambda name, kind: F.struct(F.lit(name).alias("field_name"), F.lit(kind).alias("diff_kind"))
+    found = F.array_compact(F.array(*[F.when(differs(c), case(name, "differs")) for c, name in columns.items()])) if columns else F.array().cast("array<struct<field_name:string,diff_kind:string>>")
+    each = F.when(F.col("_a").isNull(), F.array(case("*", missing_left))).when(F.col("_b").isNull(), F.array(case("*", missing_right))).otherwise(found)
+    return pairs.select(*[F.col(k).alias(c) for c, k in zip(spec.keys, keys, strict=True)], F.inline(each))

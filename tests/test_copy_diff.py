@@ -54,3 +54,16 @@ def test_against_brute_force(spark):
     for k in a.keys() & b.keys():
         expected += [(*k, "v", "differs")] * (a[k][2] != b[k][2]) + [(*k, "x", "differs")] * (abs(a[k][3] - b[k][3]) > 1e-6)
     assert found(spark, left, right) == sorted(expected, key=str)
+
+
+def test_columns_of_any_name(spark):
+    schema = "k string, n bigint, _leaf int, `a.b` int, _side string, loaded bigint"
+    spec = CopySpec(keys=("k", "n"), version="loaded")
+    left, right = [("a", 1, 1, 1, "x", 0), ("b", 1, 2, 2, None, 0)], [("a", 1, 1, 2, "x", 0), ("b", 1, 3, 2, "", 0)]
+    assert found(spark, left, right, spec, schema) == [("a", 1, "a.b", "differs"), ("b", 1, "_leaf", "differs"), ("b", 1, "_side", "differs")]
+
+
+def test_columns_that_one_side_lacks(spark):
+    left, right = spark.createDataFrame([(1, 5, 0)], "k int, more int, loaded int"), spark.createDataFrame([(1, 0), (2, 0)], "k int, loaded int")
+    rows = compare_copies(left, right, CopySpec(keys=("k",), version="loaded")).collect()
+    assert sorted((r.k, r.field_name, r.diff_kind) for r in rows) == [(1, "more", "differs"), (2, "*", "missing_in_left")]
