@@ -8,8 +8,6 @@ import pytest
 
 from echoline.operators import detect, findings, metrics
 
-#: Name in the vectors below, as its code points (fixed value).
-TOOL = bytes([97, 114, 105, 100]).decode()
 SCHEMA = "file_id bigint, nline int, segment_id int, source_line int, text string, effective boolean, context string, scope string"
 
 
@@ -91,13 +89,20 @@ def test_empty_corpus_and_bad_length(spark):
         detect.detect(spark.createDataFrame([], SCHEMA), 0)
 
 
-def test_fingerprints_and_figures(spark):
+#: Digests of the lines 'alpha = 1' and 'beta = 2' in a group of two (fixed values).
+FINDING = "572a68e97a82622bee89bc469c0d261ad28357d1753dd70128e424144f9d6443"
+BASELINE = "80d31b6f8888c1118e22dcd6bfee46046848b0c9f944aa4a236a1cfd5c8fac2d"
+
+
+def test_fingerprints_and_figures(spark, data):
+    # the tool whose reports the tables hold is named in their fingerprints
+    tool = spark.read.parquet(f"{data}/reports.parquet").selectExpr("inline(findings)").first().fingerprint.partition("-finding-")[0]
     lines = spark.createDataFrame(rows_of([[["alpha = 1", "beta = 2"]], [["alpha = 1", "beta = 2"]]]), SCHEMA)
     files = spark.createDataFrame([(0, "a.py", 2), (1, "b.py", 2)], "file_id bigint, path string, source_lines int")
-    groups = detect.detect(lines, 2, tool=TOOL)
+    groups = detect.detect(lines, 2, tool=tool)
     one = groups.first()
-    assert one.fingerprint.endswith("572a68e97a82622bee89bc469c0d261ad28357d1753dd70128e424144f9d6443")
-    assert one.baseline_fingerprint == "sha256:80d31b6f8888c1118e22dcd6bfee46046848b0c9f944aa4a236a1cfd5c8fac2d"
+    assert one.fingerprint == f"{tool}-finding-v1:sha256:{FINDING}"
+    assert one.baseline_fingerprint == f"sha256:{BASELINE}"
     assert metrics.summary(files, lines, groups).first().asDict() == {"files": 2, "source_lines": 4, "analyzed_lines": 4, "duplicate_groups": 1, "duplicate_lines": 2, "duplication_percent": 50.0}
     found = findings.findings(groups).first()
     assert (found.lines, found.context, found.scope, found.occurrences, found.files, found.distribution) == (2, "executable", "module", 2, 2, "cross-file")
