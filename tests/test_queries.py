@@ -2,10 +2,27 @@
 
 import pytest
 
-from echoline.plans import catalog
+from echoline.plans import catalog, scan
 from tests.conftest import same_rows
 
 
+_FOUND = {}
+
+
+@pytest.fixture(autouse=True)
+def groups_once(monkeypatch):
+    """Queries share the tables of groups, which most of them begin with."""
+    find = scan.groups_of
+
+    def once(spark, directory, min_lines=4, same_file=True):
+        key = (directory, min_lines, same_file)
+        if key not in _FOUND:
+            _FOUND[key] = find(spark, directory, min_lines, same_file)
+        return _FOUND[key]
+
+    monkeypatch.setattr(scan, "groups_of", once)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, data, duck, name):
     same_rows(catalog.QUERIES[name](spark, data), duck, catalog.ORACLES[name])
