@@ -15,6 +15,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -152,6 +153,15 @@ class Names:
             found.setdefault(prefix + of.get(name, name), (name, types[name]))
         return found
 
+    @staticmethod
+    def values(document: dict, of: dict[str, str]) -> dict[str, list]:
+        """field -> its values other than null, in the order in which spellings go before others."""
+        found: dict[str, list] = {}
+        for name in sorted(document, key=lambda n: (of.get(n, n) != n, n)):
+            if document[name] is not None:
+                found.setdefault(of.get(name, name), []).append(document[name])
+        return found
+
     def fields(self, types: dict[str, str | None]) -> dict[str, tuple[str, str | None]]:
         return self._bring(types, self.top, "")
 
@@ -351,44 +361,86 @@ def union_types(signed: DataFrame, names: Names) -> DataFrame:
     return held.select("field_path", "files", F.concat_ws(",", "types").alias("types"), fold("types").alias("union_type"))
 
 
-def _cast(value: object, kind: str) -> object:
-    """value as the target type, or None where it can't be told."""
+def _number(value: object, percent: bool) -> int | float | Decimal | None:
+    """value, or what its text says, as a number; a text may end in % where the field is in percent."""
+    if isinstance(value, str):
+        value = Decimal(value.strip().removesuffix("%") if percent else value)
+    return value if isinstance(value, (int, float, Decimal)) and math.isfinite(value) else None
+
+
+def _cast(value: object, kind: str, percent: bool = False) -> object:
+    """value as the target type, or None where that type can't hold it."""
     if value is None:
         return None
     try:
         if kind == "integer":
-            if isinstance(value, str):
-                value = float(value) if not re.fullmatch(r"\s*[+-]?\d+\s*", value) else int(value)
-            return int(value) if isinstance(value, (int, float)) and value == int(value) and abs(value) < 2**63 else None
+            number = _number(value, percent)
+            return int(number) if number is not None and abs(number) < 2**63 and number == int(number) else None
         if kind == "number":
-            return float(value) if not isinstance(value, (list, dict)) and math.isfinite(float(value)) else None
+            number = _number(value, percent)
+            x = math.nan if number is None else float(number)
+            return x if math.isfinite(x) and not (x.is_integer() and x != number) else None
         if kind == "boolean":
             word = value.strip().lower() if isinstance(value, str) else value
             return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False, 1: True, 0: False}.get(word) if not isinstance(word, (list, dict)) else None
-    except (ValueError, OverflowError):
+    except (ValueError, ArithmeticError):
         return None
     return value if isinstance(value, str) else json.dumps(value)
 
 
+def _in_percent(name: str) -> bool:
+    return bool({"percent", "percentage", "pct"} & set(_words(name)))
+
+
+def _no_elements(value: object) -> list:
+    """What elements() passes over in a repeated field."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(text := value)
+        except ValueError:
+            return [text]
+    if isinstance(value, list):
+        return [x for x in value if x is not None and not isinstance(x, dict)]
+    return [] if value is None or isinstance(value, dict) else [value]
+
+
 def consistent_table(files: DataFrame, names: Names, types: dict[str, str], payload: str = "payload") -> DataFrame:
     """One row per valid delivery: delivery_id, feed, run_no and the fields of `types` (path -> JSON type), cast.
 
-    The repeated field is an array of structs; lists and objects else are kept as JSON text. A value
-    that its type can't hold is null.
+    The repeated field is an array of structs; lists and objects else are kept as JSON text. Texts such as
+    '0.03%' are numbers in fields named as percent. What the types can't hold stands in `unheld` with its
+    field_path, the position of its element (from 0, null at the top) and its text, and so does the second
+    of two values that one field has under several names. Names that stand for no field of `types` are left out.
     """
     top = {p: t for p, t in types.items() if "." not in p and p != names.repeated}
     inner = {p.partition(".")[2]: t for p, t in types.items() if p.startswith(names.repeated + ".")}
+    percent = {p for p in (*top, *inner) if _in_percent(p)}
 
     def one(document: dict) -> str:
-        own = {k: json_type(v) for k, v in document.items()}
-        found = names.fields(own)
-        row = {p: _cast(document[found[p][0]], t) for p, t in top.items() if p in found}
-        if (holder := found.get(names.repeated)) and document[holder[0]] is not None:
-            row[names.repeated] = []
-            for element in elements(document[holder[0]]):
-                of = names._bring({k: None for k in element}, names.inner, "")
-                row[names.repeated].append({p: _cast(element[of[p][0]], t) for p, t in inner.items() if p in of})
-        return json.dumps(row)
+        unheld: list[dict] = []
+
+        def keep(path: str, position: int | None, value: object) -> None:
+            unheld.append({"field_path": path, "position": position, "value": value if isinstance(value, str) else json.dumps(value)})
+
+        def fill(values: dict[str, list], kinds: dict[str, str], prefix: str = "", position: int | None = None) -> dict:
+            row: dict[str, object] = {}
+            for p, t in kinds.items():
+                for value in values.get(p, ()):
+                    held = _cast(value, t, p in percent)
+                    if held is None or row.setdefault(p, held) != held:
+                        keep(prefix + p, position, value)
+            return row
+
+        given = names.values(document, names.top)
+        row = fill(given, top)
+        for k, value in enumerate(given.get(names.repeated, ()) if inner else ()):
+            if k:
+                keep(names.repeated, None, value)
+                continue
+            row[names.repeated] = [fill(names.values(e, names.inner), inner, names.repeated + ".", n) for n, e in enumerate(elements(value))]
+            for lost in _no_elements(value):
+                keep(names.repeated, None, lost)
+        return json.dumps(row | {"unheld": unheld})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -399,6 +451,7 @@ def consistent_table(files: DataFrame, names: Names, types: dict[str, str], payl
     columns = [f"`{p}`: {SPARK_TYPES[t]}" for p, t in top.items()]
     if inner:
         columns.append(f"`{names.repeated}`: array<struct<{', '.join(f'`{p}`: {SPARK_TYPES[t]}' for p, t in inner.items())}>>")
+    columns.append("unheld: array<struct<field_path: string, position: int, value: string>>")
     rows = files.select("delivery_id", "feed", "run_no", F.col(payload).alias("payload"))
     text = spread(rows).mapInPandas(read, "delivery_id bigint, feed string, run_no int, row string")
     return text.select("delivery_id", "feed", "run_no", F.from_json("row", f"struct<{', '.join(columns)}>").alias("r")).select("delivery_id", "feed", "run_no", "r.*")

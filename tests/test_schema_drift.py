@@ -73,3 +73,29 @@ def test_consistent_table(spark):
     got = {r.run_no: r for r in sd.consistent_table(df, names, types).collect()}
     assert (got[1].version, got[1].findings[0].code, got[1].findings[0].lines) == (2, "7", 3)
     assert (got[2].version, got[2].total_lines, got[2].findings) == (3, None, None)
+
+
+def test_no_value_is_lost_from_the_consistent_table(spark):
+    fields = {"version": "integer", "done": "boolean", "duplication_percent": "number", "findings": "list", "findings.code": "string", "findings.lines": "integer"}
+    odd = [None, 1, 4.5, 2**70, 2**53 + 1, True, "0.03%", "7 %", "1,5", "nan", "", "1e999999999", "9007199254740993.0", [1], {"a": 1}]
+    documents = [{k: v for k in ("version", "done", "duplication_percent")} | {"findings": [{"code": v, "lines": v}, v]} for v in odd]
+    documents += [{"findings": v} for v in odd] + [{"version": 1, "Version": 2, "findings": [{"lines": 3, "Lines": "3"}]}, {"version": None, "Version": 5}]
+    df = spark.createDataFrame([(n, "f", n, None, json.dumps(d)) for n, d in enumerate(documents)], SCHEMA)
+    names = sd.Names(list(fields), "findings", {"Version": "version"}, {"Lines": "lines"})
+    got = {r.run_no: r for r in sd.consistent_table(df, names, fields).collect()}
+    for n, d in enumerate(documents[: 2 * len(odd)]):
+        kept = {(u.field_path, u.position): u.value for u in got[n].unheld}
+        for k, v in d.items():
+            if k != "findings":
+                assert (got[n][k] is not None or (k, None) in kept) == (v is not None)
+            elif isinstance(v, list) and len(v) == 2:
+                for f, x in v[0].items():
+                    assert (got[n].findings[0][f] is not None or ("findings." + f, 0) in kept) == (x is not None)
+                assert len(got[n].findings) == 2 or v[1] is None or ("findings", None) in kept
+            elif v is not None:
+                assert got[n].findings or ("findings", None) in kept
+    percents = {d["duplication_percent"]: got[n].duplication_percent for n, d in enumerate(documents) if isinstance(d.get("duplication_percent"), str)}
+    assert percents == {"0.03%": 0.03, "7 %": 7.0} | dict.fromkeys(["1,5", "nan", "", "1e999999999", "9007199254740993.0"])
+    both, later = got[len(documents) - 2], got[len(documents) - 1]
+    assert (both.version, both.findings[0].lines, [tuple(u) for u in both.unheld]) == (1, 3, [("version", None, "2")])
+    assert (later.version, later.unheld) == (5, [])
