@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from echoline.functions.text import strip_blank
 from echoline.session import materialize
@@ -53,8 +53,9 @@ def _comparable(name: str, spec: CopySpec) -> Column:
 
 
 def _summed(name: str, spec: CopySpec) -> Column:
-    """What a column adds to the checksum. Equal sums never hide a difference: a tolerant column is
-    cut into cells narrower than its tolerance, so values of one cell count as equal anyway."""
+    """What a column adds to the checksum. Equal sums hide no difference but by a collision of both digests:
+    nulls are marked at any depth, and a tolerant column is cut into cells narrower than its tolerance, so
+    values of one cell count as equal anyway."""
     if name in spec.tolerance:
         x = F.col(f"`{name}`").cast("double")
         cell = spec.tolerance[name] / 2
@@ -62,13 +63,24 @@ def _summed(name: str, spec: CopySpec) -> Column:
     return F.col(f"`{name}`")
 
 
+def _nulls(value: Column, kind: DataType) -> Column:
+    """Where value, or anything inside it, is null, and how many elements its arrays have."""
+    if isinstance(kind, StructType):
+        there = F.concat(F.lit("1"), *[_nulls(value.getField(f.name), f.dataType) for f in kind])
+    elif isinstance(kind, ArrayType):
+        there = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _nulls(x, kind.elementType)), ""), F.lit("]"))
+    else:
+        there = F.lit("1")
+    return F.when(value.isNull(), "0").otherwise(there)
+
+
 def _side(df: DataFrame, columns: list[str], spec: CopySpec, side: int, bits: int) -> DataFrame:
     keys = [(F.lower(strip_blank(F.col(f"`{k}`"))) if k in spec.folded_keys else F.col(f"`{k}`")).alias(k) for k in spec.keys]
     rows = df.select(*keys, F.col(f"`{spec.version}`").alias("_version"), *[_comparable(c, spec).alias(c) for c in columns])
     sums = [_summed(c, spec) for c in columns]
     place = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in spec.keys]
-    # the position of a null is hashed as well: xxhash64 skips nulls
-    marks = F.concat(*[F.when(s.isNull(), "0").otherwise("1") for s in sums]) if sums else F.lit("")
+    # the position of a null is hashed as well, at any depth: xxhash64 skips nulls
+    marks = F.concat(*[F.when(F.col(f"`{k}`").isNull(), "0").otherwise("1") for k in spec.keys], *[_nulls(s, rows.schema[c].dataType) for c, s in zip(columns, sums, strict=True)])
     return rows.select(
         F.lit(side).alias("_side"),
         F.shiftrightunsigned(F.xxhash64(F.lit(17), *place), 64 - bits).alias("_leaf") if bits else F.lit(0).cast("bigint").alias("_leaf"),

@@ -67,3 +67,19 @@ def test_columns_that_one_side_lacks(spark):
     left, right = spark.createDataFrame([(1, 5, 0)], "k int, more int, loaded int"), spark.createDataFrame([(1, 0), (2, 0)], "k int, loaded int")
     rows = compare_copies(left, right, CopySpec(keys=("k",), version="loaded")).collect()
     assert sorted((r.k, r.field_name, r.diff_kind) for r in rows) == [(1, "more", "differs"), (2, "*", "missing_in_left")]
+
+
+def test_nulls_inside_columns_and_keys(spark):
+    schema = "k string, n bigint, items array<struct<c:string,s:string,l:array<int>>>, one struct<a:string,b:string>, loaded bigint"
+    spec = CopySpec(keys=("k", "n"), version="loaded", unordered=("items",))
+    base = ("a", [("m", None, [1])], ("p", None))
+    others = [
+        ("items", [(None, "m", [1])], ("p", None)), ("items", [("m", None, [1]), None], ("p", None)), ("items", [("m", None, [1, None])], ("p", None)),
+        ("items", [("m", None, None), (None, None, [1])], ("p", None)), ("one", [("m", None, [1])], (None, "p")), ("items", [("m", None, [1]), (None, None, [])], ("p", None)),
+    ]
+    left = [(base[0], n, base[1], base[2], 0) for n in range(len(others) + 1)] + [(None, 99, [], None, 0)]
+    right = [("a", n, items, one, 0) for n, (_, items, one) in enumerate(others)] + [("a", len(others), base[1], base[2], 0), ("\0", 99, [], None, 0)]
+    expected = [("a", n, c, "differs") for n, (c, *_) in enumerate(others)] + [(None, 99, "*", "missing_in_right"), ("\0", 99, "*", "missing_in_left")]
+    assert found(spark, left, right, spec, schema) == sorted(expected, key=str)
+    for a, b in ([], [None]), ([("m", None, [])], [("m", None, [None])]):
+        assert found(spark, [("a", 1, a, None, 0)], [("a", 1, b, None, 0)], spec, schema) == [("a", 1, "items", "differs")]
