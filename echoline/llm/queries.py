@@ -29,6 +29,13 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return shared_spans.shared_spans(files, "file_id", "normalized", min_lines=8).withColumnRenamed("id", "file_id")
 
 
+def p4_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """How much of each prepared file is shared: file_id, n_lines, shared_lines and share; files without a normalized text have no lines and no row."""
+    files = table(spark, directory, "prepared_files")
+    spans = shared_spans.shared_spans(files, "file_id", "normalized", min_lines=8)
+    return shared_spans.shared_shares(files, spans, "file_id", "normalized").withColumnRenamed("id", "file_id")
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """A file of the public tokenizers' folder, which the environment may name."""
     return os.path.join(os.environ.get("ECHOLINE_TOKENIZERS", "/opt/tokenizers"), name)

@@ -51,3 +51,19 @@ def test_every_window_holds_an_anchor():
     at = ss.anchors_of(grams, 5)
     assert all(((at >= a) & (at < a + 5)).any() for a in range(196))
     assert len(ss.anchors_of(grams[:4], 5)) == 0
+
+
+def test_shares_of_all_prepared_files(spark, data):
+    import pandas as pd
+
+    from echoline.llm import catalog
+
+    files = pd.read_parquet(f"{data}/prepared_files.parquet")
+    texts = [(i, t) for i, t in zip(files.file_id, files.normalized, strict=True) if t is not None]
+    shared = defaultdict(int)
+    for i, first, last in brute(texts, 8):
+        shared[i] += last - first + 1
+    expected = {i: (n := t.count("\n") + 1, shared[i], shared[i] / n) for i, t in texts}
+    rows = catalog.QUERIES["p4_shares"](spark, data).collect()
+    assert len(rows) == len(expected) and {r.file_id: (r.n_lines, r.shared_lines, r.share) for r in rows} == expected
+    assert sum(shared.values()) > 0
