@@ -54,7 +54,7 @@ def update_ledger(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """The ledger after one more batch of keyed records.
 
     The batch is aggregated first, map-side and then by key, so a key that a third of all rows hold
-    reaches the shuffle once per task. Only the buckets and keys of the batch meet the ledger; counts
+    reaches the shuffle once per task. The whole ledger is joined, as it isn't stored by bucket; counts
     are added, and of both representatives the earliest (smallest id) stays. Feeding the same records
     in any split and order gives the same ledger.
     """

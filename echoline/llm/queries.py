@@ -12,8 +12,8 @@ from echoline.llm import foreign_source, format_duplicates, packing, shared_span
 from echoline.session import materialize, table
 
 
-def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Copies among the prepared files; files that were loaded late come as a second batch."""
+def _copies(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """Keys of the prepared files and their ledger; files that were loaded late come as a second batch."""
     files = table(spark, directory, "prepared_files")
     late = F.coalesce(F.col("loaded_at") > F.col("prepared_at") + F.expr("INTERVAL 2 DAYS"), F.lit(True))
     records = files.withColumn("_late", late)
@@ -21,7 +21,17 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     first, second = (materialize(keys(records.where(which)), "copy-keys") for which in (~F.col("_late"), F.col("_late")))
     ledger = format_duplicates.update_ledger(format_duplicates.empty_ledger(first), first)
     ledger = format_duplicates.update_ledger(ledger, second)
-    return format_duplicates.copies_of(first.unionByName(second), ledger)
+    return first.unionByName(second), ledger
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Copies among the prepared files."""
+    return format_duplicates.copies_of(*_copies(spark, directory))
+
+
+def p3_copies(spark: SparkSession, directory: str) -> DataFrame:
+    """Each record once, by its first_id, with how many files say the same (itself included); files without a key have no row."""
+    return _copies(spark, directory)[1].select("first_id", "copies")
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:

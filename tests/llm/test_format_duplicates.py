@@ -49,3 +49,19 @@ def test_prepared_files_against_brute_force(spark, data):
             groups[key, tuple(named.get(o, True) for o in fd.OPTIONS)].append(i)
     expected = sorted((g[0], i) for g in groups.values() for i in g[1:])
     assert sorted((r.first_id, r.copy_id) for r in queries.p3_found(spark, data).collect()) == expected
+
+
+def test_each_record_once_with_its_copies(spark, data):
+    import pandas as pd
+
+    from echoline.llm import catalog
+
+    files = pd.read_parquet(f"{data}/prepared_files.parquet")
+    groups = defaultdict(list)
+    for i, text, options in zip(files.file_id, files.normalized, files.option_json, strict=True):
+        named = {k.lower().replace("-", "_"): v for k, v in json.loads(options).items()} if options else {}
+        if key := re.sub(r"\W", "", text.lower()) if text else "":
+            groups[key, tuple(named.get(o, True) for o in fd.OPTIONS)].append(i)
+    expected = sorted((min(g), len(g)) for g in groups.values())
+    assert sorted((r.first_id, r.copies) for r in catalog.QUERIES["p3_copies"](spark, data).collect()) == expected
+    assert max(n for _, n in expected) > 1
