@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 def redundant_lines(groups: DataFrame, lines: DataFrame) -> DataFrame:
     """file_id and nline of every effective line in an occurrence other than its group's first.
 
-    Lines of several groups count once.
+    Lines of several groups count once. groups: as from detect, which marks each group's first occurrence.
     """
-    first = groups.groupBy("fingerprint").agg(F.min(F.struct("file_id", "nstart")).alias("_first"))
-    others = groups.join(first, "fingerprint").where(F.struct("file_id", "nstart") != F.col("_first"))
-    spread = others.select("file_id", F.explode(F.sequence("nstart", F.col("nstart") + F.col("nlen") - 1)).alias("nline")).distinct()
+    spread = groups.where(~F.col("canonical")).select("file_id", F.explode(F.sequence("nstart", F.col("nstart") + F.col("nlen") - 1)).alias("nline")).distinct()
     return spread.join(lines.where("effective").select("file_id", "nline"), ["file_id", "nline"], "left_semi")
 
 

@@ -20,10 +20,14 @@ def files_of(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "prepared_files").select("file_id", path.alias("path"), "source", "source_lines")
 
 
+def delivered_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """The prepared lines; late deliveries repeat rows, of which detection takes one."""
+    return table(spark, directory, "prepared_lines").select("file_id", "nline", "segment_id", "source_line", "text", "effective", "context", "scope")
+
+
 def lines_of(spark: SparkSession, directory: str) -> DataFrame:
-    """The prepared lines, each once: late deliveries repeat rows."""
-    rows = table(spark, directory, "prepared_lines").select("file_id", "nline", "segment_id", "source_line", "text", "effective", "context", "scope")
-    return rows.dropDuplicates(["file_id", "nline"])
+    """The prepared lines, each once."""
+    return delivered_lines(spark, directory).dropDuplicates(["file_id", "nline"])
 
 
 def texts_of(spark: SparkSession, directory: str) -> DataFrame:
@@ -33,8 +37,7 @@ def texts_of(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def groups_of(spark: SparkSession, directory: str, min_lines: int = 4, same_file: bool = True) -> DataFrame:
-    lines = materialize(lines_of(spark, directory), "query-lines")  # read twice, so rows are made unique once
-    return materialize(detect.detect(lines, min_lines, same_file), "query-groups")
+    return detect.detect(delivered_lines(spark, directory), min_lines, same_file)
 
 
 def _shape(groups: DataFrame) -> DataFrame:
@@ -89,20 +92,20 @@ def suffix_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Every position whose four lines stand elsewhere as well, and whether a block may begin there."""
-    segs = materialize(detect.segments(lines_of(spark, d)), "query-segments")
-    seeded = detect.seeds(segs, 4)
-    found = seeded.join(detect.repeated_seeds(seeded), ["s1", "s2"])
-    return found.join(segs.select("file_id", "segment_id", "first"), ["file_id", "segment_id"]).select("file_id", (F.col("first") + F.col("pos")).alias("nline"), "open")
+    """Every position whose four lines stand elsewhere as well, and whether a block may begin or end there."""
+    files = materialize(detect.corpus_files(delivered_lines(spark, d)), "query-files")
+    seeded = detect.seeds(files, 4)
+    found = seeded.join(materialize(detect.repeated_seeds(seeded), "query-seeds"), ["s1", "s2"])
+    return found.join(files.select("file_id", "first"), "file_id").select("file_id", (F.col("first") + F.col("pos")).alias("nline"), "starts", "ends")
 
 
 def candidate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _shape(detect.candidates(lines_of(spark, d)))
+    return _shape(detect.candidates(delivered_lines(spark, d)))
 
 
 def contained_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of one line or more that lie wholly inside a longer one."""
-    return detect.contained(materialize(detect.candidates(lines_of(spark, d), min_lines=1), "query-candidates"))
+    return detect.contained(detect.candidates(delivered_lines(spark, d), min_lines=1))
 
 
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +126,7 @@ def duplicate_occurrences(spark: SparkSession, d: str) -> DataFrame:
 
 def text_groups(spark: SparkSession, d: str) -> DataFrame:
     """Repeated blocks of documents, whose lines are taken as they are."""
-    return _shape(detect.detect(materialize(textprep.normalized_lines(texts_of(spark, d)), "query-lines")))
+    return _shape(detect.detect(textprep.normalized_lines(texts_of(spark, d))))
 
 
 def finding_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +154,7 @@ def groups_touching_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics_summary(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.summary(files_of(spark, d), lines_of(spark, d), groups_of(spark, d))
+    return metrics.summary(files_of(spark, d), lines_of(spark, d), materialize(groups_of(spark, d), "query-groups"))
 
 
 def redundant_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -234,4 +237,4 @@ def keep_going_errors(spark: SparkSession, d: str) -> DataFrame:
 def names() -> tuple[str, ...]:
     """Queries of this module, in the order of a scan."""
     own = [k for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")]
-    return tuple(k for k in own if k not in ("files_of", "lines_of", "texts_of", "groups_of", "names"))
+    return tuple(k for k in own if k not in ("files_of", "delivered_lines", "lines_of", "texts_of", "groups_of", "names"))

@@ -86,8 +86,8 @@ b AS (SELECT list_append(ts, k + (SELECT count(*) FROM d)) AS ts, coalesce(sum(l
 x AS (SELECT CAST(o AS BIGINT) + i - 1 AS pos, ts[i:] AS t FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM b)),
 r AS (SELECT pos, t, row_number() OVER (ORDER BY t) - 1 AS rank, lag(t) OVER (ORDER BY t) AS q FROM x)
 SELECT pos, rank, CAST(CASE WHEN q IS NULL THEN 0 ELSE coalesce(list_position([t[i] = q[i] FOR i IN range(1, least(len(t), len(q)) + 1)], false) - 1, least(len(t), len(q))) END AS BIGINT) AS lcp FROM r""",
-    "repeated_seeds": f"""WITH {LINES}, t AS (SELECT *, lag(text) OVER w AS prev, list(text) OVER (PARTITION BY file_id, segment_id ORDER BY nline ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS b FROM l WINDOW w AS (PARTITION BY file_id, segment_id ORDER BY nline)),
-s AS (SELECT b, NOT (count(prev) = count(*) AND count(DISTINCT prev) = 1) AS open FROM t WHERE len(b) = 4 GROUP BY b HAVING count(*) > 1) SELECT file_id, nline, open FROM t JOIN s USING (b)""",
+    "repeated_seeds": f"""WITH {LINES}, t AS (SELECT *, lag(text) OVER w AS prev, lead(text, 4) OVER w AS nxt, list(text) OVER (PARTITION BY file_id, segment_id ORDER BY nline ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS b FROM l WINDOW w AS (PARTITION BY file_id, segment_id ORDER BY nline)),
+s AS (SELECT b, NOT (count(prev) = count(*) AND count(DISTINCT prev) = 1) AS starts, NOT (count(nxt) = count(*) AND count(DISTINCT nxt) = 1) AS ends FROM t WHERE len(b) = 4 GROUP BY b HAVING count(*) > 1) SELECT file_id, nline, starts, ends FROM t JOIN s USING (b)""",
     "candidate_groups": f"{_BASE} {_SHAPE.format('c')}",
     "contained_groups": f"WITH {LINES}, {_groups(1)} SELECT fingerprint FROM j",
     "duplicate_groups": f"{_BASE} {_SHAPE.format('g')}",

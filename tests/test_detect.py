@@ -49,21 +49,23 @@ def windows(files, m, same_file):
     return {g for g in groups if not any(inside(b, g) for b in groups)}
 
 
-def detected(spark, files, m, same_file):
-    groups = detect.detect(spark.createDataFrame(rows_of(files), SCHEMA), m, same_file)
+def detected(spark, files, m, same_file, pairs_a_line=detect.PAIRS_A_LINE):
+    groups = detect.detect(spark.createDataFrame(rows_of(files), SCHEMA), m, same_file, pairs_a_line=pairs_a_line)
     got = defaultdict(list)
     for r in groups.collect():
         got[r.fingerprint, r.nlen, r.effective_lines].append((r.file_id, r.nstart))
     return {(k[1], k[2], tuple(sorted(v))) for k, v in got.items()}
 
 
-def test_random_corpora(spark):
+@pytest.mark.parametrize("pairs_a_line", [detect.PAIRS_A_LINE, 0])
+def test_random_corpora(spark, pairs_a_line):
+    """With 0, all files that hold a repeat are worked on by levels and tree."""
     rng = random.Random(11)
     for _ in range(8):
         letters = ["a", "b", ")"][: rng.choice([1, 2, 3])]
         files = [[rng.choices(letters, k=rng.randint(1, 9)) for _ in range(rng.randint(1, 2))] for _ in range(rng.randint(1, 4))]
         m, same_file = rng.choice([1, 2, 3]), rng.random() < 0.6
-        assert detected(spark, files, m, same_file) == windows(files, m, same_file), (files, m, same_file)
+        assert detected(spark, files, m, same_file, pairs_a_line) == windows(files, m, same_file), (files, m, same_file)
 
 
 CASES = [
@@ -110,5 +112,19 @@ def test_fingerprints_and_figures(spark, data):
 
 def test_redundant_lines_are_a_union(spark):
     lines = spark.createDataFrame(rows_of([[list("abcdefxxxxxx"[:6])], [list("abcdef")]]), SCHEMA)
-    groups = spark.createDataFrame([("g", 0, 0, 4), ("g", 1, 0, 4), ("h", 0, 2, 4), ("h", 1, 2, 4)], "fingerprint string, file_id bigint, nstart int, nlen int")
+    groups = spark.createDataFrame([("g", 0, 0, 4, True), ("g", 1, 0, 4, False), ("h", 0, 2, 4, True), ("h", 1, 2, 4, False)], "fingerprint string, file_id bigint, nstart int, nlen int, canonical boolean")
     assert metrics.redundant_lines(groups, lines).count() == 6
+
+
+def test_equal_lines_cost_little(spark):
+    """100,000 equal lines in one file, and a file of two kinds of lines at random: rows stay near n log n."""
+    from echoline.session import Scratch
+
+    n = 100_000
+    rng = random.Random(5)
+    equal = spark.range(n).selectExpr("0L AS file_id", "CAST(id AS int) AS nline", "0 AS segment_id", "'s' AS text", "true AS effective")
+    mixed = spark.createDataFrame([(1, i, 0, rng.choice("ab"), True) for i in range(20_000)], equal.schema)
+    with Scratch() as scratch:
+        files = scratch.write(detect.corpus_files(equal.unionByName(mixed)), "files")
+        rows = detect.blocks(files, 4, scratch).groupBy("file_id").count().collect()
+    assert {r.file_id: r["count"] < 40 * n for r in rows} == {0: True, 1: True}
