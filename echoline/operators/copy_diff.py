@@ -2,12 +2,13 @@
 
 Rows of both sides are keyed, the key is hashed into a range tree, and every range carries a
 checksum and a count for each side. Ranges are split from the root, only where the two sides
-disagree; rows are read in full and compared column by column only in the leaves that remain.
+disagree, down to single keys; only the rows of these are read in full and compared column by
+column. So one narrow shuffle (key and digests) brings the sides together, and the wide rows that
+are moved are those of records that differ.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from echoline.functions.text import strip_blank
-from echoline.session import materialize
+from echoline.session import Scratch, materialize
 
-#: Bits of the key hash by which one step splits a range.
-STEP_BITS = 4
-#: The deepest tree has 16 ** 5 leaves, so the table of leaf checksums is bounded.
-MAX_STEPS = 5
+#: Bits of the key hash by which one step splits a range, and of the smallest range above single keys:
+#: at most 2 ** 20 ranges, so their table is bounded (8 MB of range numbers).
+STEP_BITS, TREE_BITS = 10, 20
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,6 @@ class CopySpec:
     unordered: tuple[str, ...] = ()
     seconds: tuple[str, ...] = ()
     tolerance: dict[str, float] = field(default_factory=dict)
-    leaf_rows: int = 16
 
 
 def _comparable(name: str, spec: CopySpec) -> Column:
@@ -74,7 +73,7 @@ def _nulls(value: Column, kind: DataType) -> Column:
     return F.when(value.isNull(), "0").otherwise(there)
 
 
-def _side(df: DataFrame, columns: list[str], spec: CopySpec, side: int, bits: int) -> DataFrame:
+def _side(df: DataFrame, columns: list[str], spec: CopySpec, side: int) -> DataFrame:
     keys = [(F.lower(strip_blank(F.col(f"`{k}`"))) if k in spec.folded_keys else F.col(f"`{k}`")).alias(k) for k in spec.keys]
     rows = df.select(*keys, F.col(f"`{spec.version}`").alias("_version"), *[_comparable(c, spec).alias(c) for c in columns])
     sums = [_summed(c, spec) for c in columns]
@@ -83,7 +82,7 @@ def _side(df: DataFrame, columns: list[str], spec: CopySpec, side: int, bits: in
     marks = F.concat(*[F.when(F.col(f"`{k}`").isNull(), "0").otherwise("1") for k in spec.keys], *[_nulls(s, rows.schema[c].dataType) for c, s in zip(columns, sums, strict=True)])
     return rows.select(
         F.lit(side).alias("_side"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(17), *place), 64 - bits).alias("_leaf") if bits else F.lit(0).cast("bigint").alias("_leaf"),
+        F.xxhash64(F.lit(17), *place).alias("_place"),
         F.xxhash64(F.lit(1), marks, *place, *sums).alias("_h1"),
         F.xxhash64(F.lit(2), marks, *place, *sums).alias("_h2"),
         "*",
@@ -96,28 +95,29 @@ def _latest(value: Column, side: int) -> Column:
     return F.max_by(F.when(here, value), F.when(here, order))
 
 
-def _mismatched_leaves(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
-    """Leaves whose checksums differ, reached from the root through differing ranges only."""
-    per_key = rows.groupBy("_leaf", *keys).agg(
+def _mismatched(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """_place of every key whose checksums differ, reached from the root through differing ranges only."""
+    per_key = rows.groupBy("_place", *keys).agg(
         _latest(F.struct("_h1", "_h2"), 0).alias("a"), _latest(F.struct("_h1", "_h2"), 1).alias("b")
     )
-    sums = [F.coalesce(F.bit_xor(f"{s}._h{i}"), F.lit(0)).alias(f"{s}{i}") for s in "ab" for i in (1, 2)]
-    counts = [F.count(s).alias(f"n{s}") for s in "ab"]
-    leaves = materialize(per_key.groupBy("_leaf").agg(*sums, *counts), "copy-leaves")
-    up = [F.bit_xor(f"{s}{i}").alias(f"{s}{i}") for s in "ab" for i in (1, 2)] + [F.sum(f"n{s}").alias(f"n{s}") for s in "ab"]
+    sums = [F.col(f"{s}._h{i}").alias(f"{s}{i}") for s in "ab" for i in (1, 2)]
+    records = scratch.write(per_key.select("_place", *sums), "copy-keys")
+    number = lambda bits: F.shiftrightunsigned("_place", 64 - bits) if bits else F.lit(0).cast("bigint")
+    #: at most 2 ** TREE_BITS ranges, so their table and any list of them may be sent to all
+    up = [F.coalesce(F.bit_xor(f"{s}{i}"), F.lit(0)).alias(f"{s}{i}") for s in "ab" for i in (1, 2)]
+    counts = [F.count(f"{s}1").alias(f"n{s}") for s in "ab"]
+    leaves = scratch.write(records.groupBy(number(TREE_BITS).alias("_range")).agg(*up, *counts), "copy-ranges")
+    up, total = [F.bit_xor(f"{s}{i}").alias(f"{s}{i}") for s in "ab" for i in (1, 2)], [F.sum(f"n{s}").alias(f"n{s}") for s in "ab"]
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")) | (F.col("na") != F.col("nb"))
     open_ranges: DataFrame | None = None
-    for level in range(0, bits + 1, STEP_BITS):
-        cut = bits - level
-        ranges = leaves.withColumn("_range", F.shiftrightunsigned("_leaf", cut)).groupBy("_range").agg(*up).where(differ)
+    for bits in range(0, TREE_BITS + 1, STEP_BITS):
+        ranges = leaves.groupBy(F.shiftrightunsigned("_range", TREE_BITS - bits).alias("_range")).agg(*up, *total).where(differ)
         if open_ranges is not None:
-            ranges = (
-                ranges.withColumn("_parent", F.shiftrightunsigned("_range", STEP_BITS))
-                .join(open_ranges.select(F.col("_range").alias("_parent")), "_parent", "left_semi")
-                .drop("_parent")
-            )
+            ranges = ranges.join(F.broadcast(open_ranges.select(F.col("_range").alias("_above"))), F.shiftrightunsigned("_range", STEP_BITS) == F.col("_above"), "left_semi")
         open_ranges = ranges.select("_range")
-    return open_ranges.select(F.col("_range").alias("_leaf"))
+    inside = records.withColumn("_range", number(TREE_BITS)).join(F.broadcast(open_ranges), "_range", "left_semi")
+    alike = F.col("a1").eqNullSafe(F.col("b1")) & F.col("a2").eqNullSafe(F.col("b2"))
+    return scratch.write(inside.where(~alike).select("_place").distinct(), "copy-differing")
 
 
 def _renamed(df: DataFrame, names: dict[str, str], version: str, types: dict[str, DataType]) -> DataFrame:
@@ -139,21 +139,14 @@ def compare_copies(left: DataFrame, right: DataFrame, spec: CopySpec, missing_le
     columns = {f"c{i}": c for i, c in enumerate(compared)}
     names = dict(zip(spec.keys, keys, strict=True)) | {c: own for own, c in columns.items()}
     own = lambda group: tuple(names[c] for c in group if c in names)
-    inner = CopySpec(tuple(keys), "v", own(spec.folded_keys), own(spec.unordered), own(spec.seconds), {names[c]: t for c, t in spec.tolerance.items() if c in names}, spec.leaf_rows)
+    inner = CopySpec(tuple(keys), "v", own(spec.folded_keys), own(spec.unordered), own(spec.seconds), {names[c]: t for c, t in spec.tolerance.items() if c in names})
     left, right = (_renamed(df, names, spec.version, types) for df in (left, right))
-    n = max(left.count(), right.count(), 1)
-    steps = min(MAX_STEPS, max(0, math.ceil(math.log2(max(1, n / spec.leaf_rows)) / STEP_BITS)))
-    bits = steps * STEP_BITS
-    rows = _side(left, list(columns), inner, 0, bits).unionByName(_side(right, list(columns), inner, 1, bits))
-    slim = rows.select("_side", "_leaf", "_h1", "_h2", "_version", *keys)
-    leaves = _mismatched_leaves(slim, keys, bits)
-
+    rows = _side(left, list(columns), inner, 0).unionByName(_side(right, list(columns), inner, 1))
+    scratch = Scratch()
+    differing = _mismatched(rows.select("_side", "_place", "_h1", "_h2", "_version", *keys), keys, scratch)
     value = F.struct(*columns, F.lit(True).alias("_there"))
-    pairs = (
-        rows.join(leaves, "_leaf", "left_semi")
-        .groupBy("_leaf", *keys)
-        .agg(_latest(value, 0).alias("_a"), _latest(value, 1).alias("_b"))
-    )
+    # differing is a table of known size: small, it is broadcast and the rows of other records go no further
+    pairs = rows.join(differing, "_place", "left_semi").groupBy("_place", *keys).agg(_latest(value, 0).alias("_a"), _latest(value, 1).alias("_b"))
 
     def differs(c: str) -> Column:
         a, b = F.col(f"_a.{c}"), F.col(f"_b.{c}")
@@ -164,4 +157,5 @@ def compare_copies(left: DataFrame, right: DataFrame, spec: CopySpec, missing_le
     case = lambda name, kind: F.struct(F.lit(name).alias("field_name"), F.lit(kind).alias("diff_kind"))
     found = F.array_compact(F.array(*[F.when(differs(c), case(name, "differs")) for c, name in columns.items()])) if columns else F.array().cast("array<struct<field_name:string,diff_kind:string>>")
     each = F.when(F.col("_a").isNull(), F.array(case("*", missing_left))).when(F.col("_b").isNull(), F.array(case("*", missing_right))).otherwise(found)
-    return pairs.select(*[F.col(k).alias(c) for c, k in zip(spec.keys, keys, strict=True)], F.inline(each))
+    with scratch:
+        return materialize(pairs.select(*[F.col(k).alias(c) for c, k in zip(spec.keys, keys, strict=True)], F.inline(each)), "copy-differences")

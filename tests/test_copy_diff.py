@@ -3,7 +3,7 @@
 from echoline.operators.copy_diff import CopySpec, compare_copies
 
 SCHEMA = "k string, n bigint, v int, x double, items array<struct<a:int,b:string>>, at timestamp_ntz, loaded bigint"
-SPEC = CopySpec(keys=("k", "n"), folded_keys=("k",), version="loaded", unordered=("items",), seconds=("at",), tolerance={"x": 1e-6}, leaf_rows=1)
+SPEC = CopySpec(keys=("k", "n"), folded_keys=("k",), version="loaded", unordered=("items",), seconds=("at",), tolerance={"x": 1e-6})
 
 
 def found(spark, left, right, spec=SPEC, schema=SCHEMA):
@@ -83,3 +83,28 @@ def test_nulls_inside_columns_and_keys(spark):
     assert found(spark, left, right, spec, schema) == sorted(expected, key=str)
     for a, b in ([], [None]), ([("m", None, [])], [("m", None, [None])]):
         assert found(spark, [("a", 1, a, None, 0)], [("a", 1, b, None, 0)], spec, schema) == [("a", 1, "items", "differs")]
+
+
+def test_each_null_inside_a_column_is_found_by_itself(spark):
+    """Tables of one key, so that no other difference opens its range."""
+    schema = "k int, f array<struct<c:string,s:string>>, tags array<string>, loaded int"
+    spec = CopySpec(keys=("k",), version="loaded", unordered=("f", "tags"))
+    cases = {
+        "f": [([(None, "x")], [("x", None)]), ([("x", "y")], [("x", "y"), (None, None)]), ([], [(None, None)]), (None, []), ([None], [(None, None)])],
+        "tags": [([], [None]), (None, [None]), (["a"], ["a", None])],
+    }
+    for column, pairs in cases.items():
+        for a, b in pairs:
+            row = lambda v: [(1, v if column == "f" else [], v if column == "tags" else [], 0)]  # noqa: B023, E731
+            rows = compare_copies(spark.createDataFrame(row(a), schema), spark.createDataFrame(row(b), schema), spec).collect()
+            assert [(r.field_name, r.diff_kind) for r in rows] == [(column, "differs")], (a, b)
+    ordered = CopySpec(keys=("k",), version="loaded")
+    rows = compare_copies(spark.createDataFrame([(1, [], ["a", None], 0)], schema), spark.createDataFrame([(1, [], [None, "a"], 0)], schema), ordered).collect()
+    assert [r.field_name for r in rows] == ["tags"]
+
+
+def test_only_rows_of_differing_records_are_moved_in_full(spark):
+    left = spark.range(5000).selectExpr("id AS k", "repeat('x', 50) AS text", "0 AS loaded")
+    right = left.selectExpr("k", "IF(k = 77, 'y', text) AS text", "loaded")
+    rows = compare_copies(left, right, CopySpec(keys=("k",), version="loaded")).collect()
+    assert [(r.k, r.field_name) for r in rows] == [(77, "text")]
