@@ -473,10 +473,19 @@ def _deep_blocks(min_lines: int, extras: list[str], most: int = 1 << 18):
     return run
 
 
+def with_keys(seeded: DataFrame, keys: DataFrame) -> DataFrame:
+    """Positions of repeated seeds; keys is a written table, so a hot seed's rows can be split."""
+    return seeded.select("file_id", "pos", "s1", "s2").join(keys, ["s1", "s2"])
+
+
+def with_classes(made: DataFrame, told: DataFrame) -> DataFrame:
+    """Occurrences with the fingerprints of their class; told is a written table, so a hot class can be split."""
+    return made.join(told, CLASS)
+
+
 def _held(files: DataFrame, seeded: DataFrame, keys: DataFrame) -> DataFrame:
     """Files that have repeated seeds, with their places."""
-    there = seeded.select("file_id", "pos", "s1", "s2").join(keys, ["s1", "s2"])
-    places = there.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos", "starts", "ends"))).alias("p"), F.max("starts").alias("some"))
+    places = with_keys(seeded, keys).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos", "starts", "ends"))).alias("p"), F.max("starts").alias("some"))
     places = places.where("some").select("file_id", *[F.col(f"p.{c}").alias(c) for c in ("pos", "starts", "ends")])
     return files.drop("texts").join(places, "file_id")
 
@@ -554,7 +563,7 @@ def _found(lines: DataFrame, min_lines: int, same_file: bool, tool: str, pairs_a
         files = scratch.write(corpus_files(lines), "detect-files")
         made = blocks(files, min_lines, scratch, pairs_a_line)
         told = scratch.write(_fingerprinted(_classes(made, same_file), files, tool), "detect-classes")
-        rows = made.join(told, CLASS).withColumn("canonical", F.struct("file_id", "nstart") == F.col("first"))
+        rows = with_classes(made, told).withColumn("canonical", F.struct("file_id", "nstart") == F.col("first"))
         return materialize(rows.drop("d1", "d2", "prev", "next", "first"), "detect-groups")
 
 

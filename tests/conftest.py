@@ -19,6 +19,27 @@ def spark():
     return session
 
 
+@pytest.fixture
+def small_partitions(spark):
+    """Thresholds so low that a join of a hot key must be split: no broadcast, no coalescing."""
+    adaptive = "spark.sql.adaptive."
+    settings = {
+        "spark.sql.shuffle.partitions": "12", "spark.sql.autoBroadcastJoinThreshold": "-1", adaptive + "autoBroadcastJoinThreshold": "-1", adaptive + "coalescePartitions.enabled": "false",
+        adaptive + "skewJoin.skewedPartitionThresholdInBytes": "16k", adaptive + "skewJoin.skewedPartitionFactor": "1.1", adaptive + "advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def is_split(df):
+    """Whether the executed plan of a collected df has a join with a split partition."""
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="session")
 def data():
     if not os.path.isdir(DATA):

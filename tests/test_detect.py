@@ -128,3 +128,23 @@ def test_equal_lines_cost_little(spark):
         files = scratch.write(detect.corpus_files(equal.unionByName(mixed)), "files")
         rows = detect.blocks(files, 4, scratch).groupBy("file_id").count().collect()
     assert {r.file_id: r["count"] < 40 * n for r in rows} == {0: True, 1: True}
+
+
+def test_hot_seeds_and_classes_are_split(spark, small_partitions):
+    """A header in a third of all files: the joins of its seeds and of its occurrences run in several tasks."""
+    from echoline.session import Scratch
+    from tests.conftest import is_split
+
+    header = [f"header {n}" for n in range(4)]
+    rows = [(f, n, 0, text, True) for f in range(6000) for n, text in enumerate((header if f % 3 == 0 else []) + [f"own {f} {n}" for n in range(4)])]
+    lines = spark.createDataFrame(rows, "file_id bigint, nline int, segment_id int, text string, effective boolean")
+    with Scratch() as scratch:
+        files = scratch.write(detect.corpus_files(lines), "files")
+        seeded = scratch.write(detect.seeds(files, 4), "seeds")
+        keys = scratch.write(detect.repeated_seeds(seeded), "keys")
+        there = detect.with_keys(seeded, keys)
+        assert len(there.collect()) == 2000 and is_split(there)
+        made = detect.blocks(files, 4, scratch)
+        told = scratch.write(detect._fingerprinted(detect._classes(made, True), files, "echoline"), "classes")
+        found = detect.with_classes(made, told)
+        assert len(found.collect()) == 2000 and is_split(found)
