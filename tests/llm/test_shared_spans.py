@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 from echoline.llm import shared_spans as ss
+from tests.conftest import is_split
 
 
 def brute(texts, m):
@@ -67,3 +68,29 @@ def test_shares_of_all_prepared_files(spark, data):
     rows = catalog.QUERIES["p4_shares"](spark, data).collect()
     assert len(rows) == len(expected) and {r.file_id: (r.n_lines, r.shared_lines, r.share) for r in rows} == expected
     assert sum(shared.values()) > 0
+
+
+def test_fewer_rows_than_windows(spark, data):
+    """Only anchors meet each other, and windows are made around shared ones alone."""
+    from echoline.session import Scratch
+
+    files = spark.read.parquet(f"{data}/prepared_files.parquet")
+    with Scratch() as scratch:
+        texts = files.selectExpr("file_id AS id", "normalized AS text").where("text IS NOT NULL")
+        lines = scratch.write(texts.mapInArrow(ss._hashed, ss.LINES_SCHEMA), "lines")
+        windows = lines.selectExpr("sum(greatest(size(l1) - 7, 0)) AS n").first().n
+        anchors = lines.select("id", "l1").mapInArrow(ss._anchors(8, 4), ss.ANCHOR_SCHEMA)
+        shared = ss.in_several(anchors, ["anchor"], scratch).groupBy("id").agg({"pos": "collect_set"}).toDF("id", "pos")
+        emitted = anchors.count() + lines.join(shared, "id").mapInArrow(ss._windows(8, 4), ss.WINDOW_SCHEMA).count()
+    assert 0 < emitted < windows
+
+
+def test_rows_of_a_hot_key_are_split(spark, small_partitions):
+    """A third of all rows hold one key: their join runs in several tasks."""
+    from echoline.session import Scratch
+
+    rows = spark.range(90_000).selectExpr("id", "IF(id % 3 = 0, 7, id) AS key", "hash(id) AS pos")
+    with Scratch() as scratch:
+        found = ss.in_several(rows, ["key"], scratch)
+        assert len(found.collect()) == 30_001  # and row 7 itself
+        assert is_split(found)
