@@ -124,10 +124,16 @@ class Scratch:
             _remove(spark, [path])
 
 
-def _write(df: DataFrame, label: str) -> str:
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has yet; release removes what is written there."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
+    return path
+
+
+def _write(df: DataFrame, label: str) -> str:
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
     if on_one_machine(spark.sparkContext.master):
         df.write.parquet(path)
         return path
