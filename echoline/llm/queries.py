@@ -9,19 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoline.llm import foreign_source, format_duplicates, packing, shared_spans, subjects, tokenizing
-from echoline.session import materialize, table
+from echoline.session import fresh_path, materialize, table
+
+
+#: For tables of this size; one bucket should hold some hundred thousand keys.
+LEDGER_BUCKETS = 8
 
 
 def _copies(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """Keys of the prepared files and their ledger; files that were loaded late come as a second batch."""
+    """Keys of the prepared files and their ledger; files that were loaded late come as a second batch.
+
+    The ledger is stored after each batch, and opened again for the next one.
+    """
     files = table(spark, directory, "prepared_files")
     late = F.coalesce(F.col("loaded_at") > F.col("prepared_at") + F.expr("INTERVAL 2 DAYS"), F.lit(True))
-    records = files.withColumn("_late", late)
-    keys = lambda rows: format_duplicates.keyed(rows, "file_id", "normalized", "option_json")
-    first, second = (materialize(keys(records.where(which)), "copy-keys") for which in (~F.col("_late"), F.col("_late")))
-    ledger = format_duplicates.update_ledger(format_duplicates.empty_ledger(first), first)
-    ledger = format_duplicates.update_ledger(ledger, second)
-    return first.unionByName(second), ledger
+    keys = materialize(format_duplicates.keyed(files.withColumn("_late", late), "file_id", "normalized", "option_json", buckets=LEDGER_BUCKETS, keep=["_late"]), "copy-keys")
+    folder = fresh_path(spark, "ledger")
+    for which in (~F.col("_late"), F.col("_late")):
+        format_duplicates.Ledger(spark, folder).update(keys.where(which).drop("_late"))
+    return keys.drop("_late"), format_duplicates.Ledger(spark, folder).load()
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:

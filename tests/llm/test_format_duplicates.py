@@ -2,6 +2,7 @@
 
 import json
 import re
+import tempfile
 from collections import defaultdict
 
 from echoline.llm import format_duplicates as fd
@@ -12,9 +13,11 @@ SCHEMA = "id bigint, text string, options string, key string"
 def pairs(spark, rows, batches=1):
     df = spark.createDataFrame([(*r, None) for r in rows], SCHEMA)  # a column named key is in the way
     parts = [fd.keyed(df.where(f"id % {batches} = {b}"), "id", "text", "options") for b in range(batches)]
-    ledger = fd.empty_ledger(df)
-    for part in parts:
-        ledger = fd.update_ledger(ledger, part)
+    with tempfile.TemporaryDirectory() as folder:
+        for part in parts:
+            fd.Ledger(spark, folder).update(part)
+        ledger = fd.Ledger(spark, folder).load().cache()
+        ledger.count()
     whole = fd.keyed(df, "id", "text", "options")
     return sorted((r.first_id, r.copy_id) for r in fd.copies_of(whole, ledger).collect()), {r.key: (r.copies, r.first_id) for r in ledger.collect()}
 
@@ -65,3 +68,34 @@ def test_each_record_once_with_its_copies(spark, data):
     expected = sorted((min(g), len(g)) for g in groups.values())
     assert sorted((r.first_id, r.copies) for r in catalog.QUERIES["p3_copies"](spark, data).collect()) == expected
     assert max(n for _, n in expected) > 1
+
+
+def test_an_update_touches_only_its_buckets(spark, tmp_path):
+    df = spark.createDataFrame([(n, f"text {n}", None, None) for n in range(200)], SCHEMA)
+    keys = fd.keyed(df, "id", "text", "options", buckets=16)
+    ledger = fd.Ledger(spark, str(tmp_path))
+    assert ledger.load().count() == 0 and ledger.update(keys.where("false")) == []
+    assert ledger.update(keys) == list(range(16))
+    before = dict(ledger.parts)
+    one = keys.where("id = 7")
+    bucket = one.first().bucket
+    again = fd.Ledger(spark, str(tmp_path))
+    plan = fd.updated(again.load([bucket]), one)._jdf.queryExecution().executedPlan().toString()
+    assert "Location: InMemoryFileIndex(1 paths)" in plan  # of 16 buckets one is read
+    assert again.update(one) == [bucket]
+    assert {b for b in before if again.parts[b] != before[b]} == {bucket}
+    read = {r.first_id: r.copies for r in fd.Ledger(spark, str(tmp_path)).load().collect()}
+    assert read == {n: 2 if n == 7 else 1 for n in range(200)}
+
+
+def test_a_lost_update_changes_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", None, None)], SCHEMA)
+    keys = fd.keyed(df, "id", "text", "options")
+    ledger = fd.Ledger(spark, str(tmp_path))
+    ledger.update(keys)
+    other = fd.Ledger(spark, str(tmp_path))
+    other._commit = lambda *_: None  # ends before the manifest is there
+    other.update(keys)
+    assert [r.copies for r in fd.Ledger(spark, str(tmp_path)).load().collect()] == [1]
+    fd.Ledger(spark, str(tmp_path)).update(keys)
+    assert [r.copies for r in fd.Ledger(spark, str(tmp_path)).load().collect()] == [2]
