@@ -26,8 +26,6 @@ from echoline.session import materialize, spread
 
 #: Run numbers of one block of a feed, and so the most files of one.
 BLOCK_RUNS = 512
-#: Beyond this many distinct names the documents have no schema to speak of.
-MOST_NAMES = 100_000
 
 #: JSON types and, for each, those it is promoted to, nearest first (fixed values). null is below all.
 PROMOTION = {
@@ -140,66 +138,84 @@ def signatures(files: DataFrame, payload: str, repeated: str) -> DataFrame:
 
 
 class Names:
-    """Which field a name stands for, at the top and inside the repeated field."""
+    """Which field a name stands for, at the top and inside the repeated field.
+
+    A field's own name goes before other spellings of it, and these before the names that evidence brings
+    (top and inner: name -> field).
+    """
 
     def __init__(self, known: list[str], repeated: str, top: dict[str, str], inner: dict[str, str]):
         self.known, self.repeated, self.top, self.inner = frozenset(known), repeated, top, inner
+        self._top, self._inner = spelled([p for p in known if "." not in p]), spelled([p.partition(".")[2] for p in known if p.startswith(repeated + ".")])
 
     @staticmethod
-    def _bring(types: dict[str, str | None], of: dict[str, str], prefix: str) -> dict[str, tuple[str, str | None]]:
-        """field -> (spelling, type); the field's own spelling goes before others, then the first by name."""
+    def _of(names, of: dict[str, str], same: dict[str, str]) -> list[tuple[str, str]]:
+        """(field, name) of each name, in the order in which names go before others."""
+        own = set(same.values())
+        pairs = [(n if n in own else same.get(squash(n)) or of.get(n, n), n) for n in names]
+        return sorted(pairs, key=lambda p: (p[0] != p[1], p[1]))
+
+    def _bring(self, types: dict[str, str | None], inner: bool = False) -> dict[str, tuple[str, str | None]]:
+        """field -> (spelling, type)."""
         found: dict[str, tuple[str, str | None]] = {}
-        for name in sorted(types, key=lambda n: (of.get(n, n) != n, n)):
-            found.setdefault(prefix + of.get(name, name), (name, types[name]))
+        prefix = self.repeated + "." if inner else ""
+        for field, name in self._of(types, *((self.inner, self._inner) if inner else (self.top, self._top))):
+            found.setdefault(prefix + field, (name, types[name]))
         return found
 
-    @staticmethod
-    def values(document: dict, of: dict[str, str]) -> dict[str, list]:
-        """field -> its values other than null, in the order in which spellings go before others."""
+    def values(self, document: dict, inner: bool = False) -> dict[str, list]:
+        """field -> its values other than null."""
         found: dict[str, list] = {}
-        for name in sorted(document, key=lambda n: (of.get(n, n) != n, n)):
+        for field, name in self._of(document, *((self.inner, self._inner) if inner else (self.top, self._top))):
             if document[name] is not None:
-                found.setdefault(of.get(name, name), []).append(document[name])
+                found.setdefault(field, []).append(document[name])
         return found
 
     def fields(self, types: dict[str, str | None]) -> dict[str, tuple[str, str | None]]:
-        return self._bring(types, self.top, "")
+        return self._bring(types)
 
     def items(self, fields: dict[str, str | None], items: dict[str, dict[str, str | None]]) -> dict[str, tuple[str, str | None]] | None:
         holder = self.fields(fields).get(self.repeated)
         types = items.get(holder[0]) if holder else None
-        return self._bring(types, self.inner, self.repeated + ".") if types else None
-
-
-def _evidence(pairs: DataFrame, known: list[str], types: dict[str, set[str]]) -> dict[str, str]:
-    """Name -> known field, from rows (feed, names): spelling first, then names that never stand beside the field they replace."""
-    all_known = F.array(*[F.lit(k) for k in known])
-    rows = pairs.select("feed", F.array_except("names", all_known).alias("new"), F.array_except(all_known, "names").alias("absent"))
-    total = rows.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("absent", k)).alias(f"k{i}") for i, k in enumerate(known)]).first()
-    each = rows.where(F.size("new") > 0).select("feed", F.explode("new").alias("name"), "absent")
-    names = {r["name"]: (r["n"], r["feeds"]) for r in each.groupBy("name").agg(F.count("*").alias("n"), F.approx_count_distinct("feed").alias("feeds")).limit(MOST_NAMES + 1).collect()}
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} distinct field names")
-    together = {(r["name"], r["field"]): r["n"] for r in each.select("name", F.explode("absent").alias("field")).groupBy("name", "field").agg(F.count("*").alias("n")).collect()}
-    result = {}
-    for name, (n, feeds) in names.items():
-        best = (0.0, "")
-        for i, field in enumerate(known):
-            like = likeness(name, field)
-            if like < 1:
-                if together.get((name, field), 0) < 0.98 * n:
-                    continue
-                if types.get(field) and types.get(name) and not types[name] & types[field]:
-                    continue
-                rate = min(max(total[f"k{i}"] / max(total["n"], 1), 0.01), 0.99)
-                weight = feeds * -math.log10(rate)
-                if like < 0.55 and weight < 3:
-                    continue
-                like = min(0.999, like + min(weight, 30) / 30 * 0.3)
-            best = max(best, (like, field))
-        if best[1]:
-            result[name] = best[1]
-    return result
+        return self._bring(types, inner=True) if types else None
+
+
+def spelled(known: list[str]) -> dict[str, str]:
+    """Squashed spelling -> field."""
+    return {squash(k): k for k in sorted(known)}
+
+
+def _evidence(maps: DataFrame, known: list[str]) -> dict[str, str]:
+    """Name -> known field, from rows (feed, m: name -> type), for names that never stand beside the field they replace.
+
+    All counts and scores stay distributed, however many names there are; only names that replace a field
+    come to the driver, and other spellings of a field, which need no evidence, don't.
+    """
+
+    @F.pandas_udf("double")
+    def alike(name: pd.Series, field: pd.Series) -> pd.Series:
+        return pd.Series([likeness(a, b) for a, b in zip(name, field, strict=True)], dtype="float64")
+
+    # which known fields a file lacks, as a text of 0 and 1
+    lacks = F.concat(*[F.when(F.map_contains_key("m", F.lit(k)), "0").otherwise("1") for k in known])
+    each = maps.select("feed", lacks.alias("lacks"), F.explode("m").alias("name", "type"))
+    total = maps.count()
+    there, types = dict.fromkeys(known, 0), {k: [] for k in known}
+    for r in each.where(F.col("name").isin(known)).groupBy("name", "type").count().collect():  # a row for each known field and JSON type
+        there[r["name"]] += r["count"]
+        types[r["name"]] += [r["type"]] if r["type"] else []
+    rate = {k: -math.log10(min(max((total - there[k]) / max(total, 1), 0.01), 0.99)) for k in known}
+    facts = F.array(*[F.struct(F.lit(i + 1).alias("place"), F.lit(k).alias("field"), F.lit(rate[k]).alias("weight"), F.array(*map(F.lit, sorted(types[k]))).cast("array<string>").alias("known_types")) for i, k in enumerate(known)])
+    fresh = ~F.col("name").isin(known) & ~F.regexp_replace(F.lower("name"), "[^0-9a-z]", "").isin(list(spelled(known)))
+    by_feed = each.where(fresh).groupBy("name", "feed", "lacks").agg(F.count("*").alias("n"), F.collect_set("type").alias("types"))
+    names = by_feed.groupBy("name").agg(F.sum("n").alias("n"), F.count_distinct(F.coalesce("feed", F.lit(""))).alias("feeds"), F.array_distinct(F.flatten(F.collect_set("types"))).alias("types"))
+    fields = by_feed.groupBy("name", "lacks").agg(F.sum("n").alias("n")).select("name", "lacks", F.col("n").alias("beside"), F.inline(facts)).where(F.substr("lacks", "place", F.lit(1)) == "1")
+    pairs = fields.groupBy("name", "field", "weight", "known_types").agg(F.sum("beside").alias("beside")).join(names, "name").where(F.col("beside") >= 0.98 * F.col("n"))
+    pairs = pairs.where((F.size("types") == 0) | (F.size("known_types") == 0) | F.arrays_overlap("types", "known_types"))
+    weighed = pairs.select("name", "field", alike("name", "field").alias("like"), (F.col("feeds") * F.col("weight")).alias("weight")).where("like >= 0.55 OR weight >= 3")
+    score = F.least(F.lit(0.999), F.col("like") + F.least(F.col("weight"), F.lit(30.0)) / 30 * 0.3)
+    best = weighed.groupBy("name").agg(F.max(F.struct(score.alias("score"), "field")).alias("best"))
+    return {r["name"]: r["field"] for r in best.select("name", "best.field").collect()}
 
 
 def resolve_names(signed: DataFrame, field_paths: list[str], repeated: str) -> Names:
@@ -207,19 +223,15 @@ def resolve_names(signed: DataFrame, field_paths: list[str], repeated: str) -> N
     top = [p for p in field_paths if "." not in p]
     inner = [p.partition(".")[2] for p in field_paths if p.startswith(repeated + ".")]
     schema = "map<string,string>"
-
-    def observed(maps: DataFrame) -> dict[str, set[str]]:
-        rows = maps.select(F.explode("m").alias("name", "type")).where("type IS NOT NULL").groupBy("name").agg(F.collect_set("type").alias("types"))
-        return {r["name"]: set(r["types"]) for r in rows.collect()}
-
-    maps = signed.select("feed", F.from_json("fields", schema).alias("m"))
-    types = observed(maps)
-    of_top = _evidence(maps.select("feed", F.map_keys("m").alias("names")), top, types)
-    holders = [repeated, *[n for n, k in of_top.items() if k == repeated]]
-    inside = signed.select("feed", F.from_json("items", f"map<string,{schema}>").alias("i"))
-    maps = inside.select("feed", F.coalesce(*[F.col("i").getItem(h) for h in holders]).alias("m")).where("m IS NOT NULL")
-    of_inner = _evidence(maps.select("feed", F.map_keys("m").alias("names")), inner, observed(maps)) if inner else {}
-    return Names(field_paths, repeated, of_top, of_inner)
+    of_top = _evidence(signed.select("feed", F.from_json("fields", schema).alias("m")), top)
+    if not inner:
+        return Names(field_paths, repeated, of_top, {})
+    # in each file, the elements under the name that stands for the repeated field there
+    found = F.from_json("items", f"map<string,{schema}>")
+    holders = [repeated, *sorted(n for n, k in of_top.items() if k == repeated)]
+    other = F.try_element_at(F.map_values(F.map_filter(found, lambda k, _: F.regexp_replace(F.lower(k), "[^0-9a-z]", "") == squash(repeated))), F.lit(1))
+    maps = signed.select("feed", F.coalesce(*[found.getItem(h) for h in holders[:1]], other, *[found.getItem(h) for h in holders[1:]]).alias("m")).where("m IS NOT NULL")
+    return Names(field_paths, repeated, of_top, _evidence(maps, inner))
 
 
 State = dict[str, list]
@@ -333,6 +345,29 @@ def drift(files: DataFrame, field_paths: list[str], payload: str = "payload", re
     return changes(signed, names), signed, names
 
 
+def union_schema(files: DataFrame, names: Names, types: dict[str, str], payload: str = "payload") -> dict[str, str]:
+    """The fields of `types` with the type that the promotion lattice gives for their values in all files; a field never seen keeps its own.
+
+    Every batch is folded where it lies to a row for each field and type.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: set[tuple[str, str | None]] = set()
+            for document in batch["payload"].map(read_document).dropna():
+                given = names.values(document)
+                seen.update((f, json_type(x)) for f, values in given.items() for x in values)
+                for element in elements(given.get(names.repeated, [None])[0]):
+                    seen.update((f"{names.repeated}.{f}", json_type(x)) for f, values in names.values(element, True).items() for x in values)
+            yield pd.DataFrame([s for s in seen if s[0] in types], columns=["field_path", "type"])
+
+    found: dict[str, str | None] = {}
+    rows = spread(files.select(F.col(payload).alias("payload"))).mapInPandas(read, "field_path string, type string").distinct()
+    for r in sorted(rows.collect()):  # a row for each given field and JSON type
+        found[r["field_path"]] = promote(found.get(r["field_path"]), r["type"])
+    return {p: t if p == names.repeated else found.get(p) or t for p, t in types.items()}
+
+
 def union_types(signed: DataFrame, names: Names) -> DataFrame:
     """field_path, the types it was seen with, their promotion, and in how many files it stands."""
 
@@ -431,13 +466,13 @@ def consistent_table(files: DataFrame, names: Names, types: dict[str, str], payl
                         keep(prefix + p, position, value)
             return row
 
-        given = names.values(document, names.top)
+        given = names.values(document)
         row = fill(given, top)
         for k, value in enumerate(given.get(names.repeated, ()) if inner else ()):
             if k:
                 keep(names.repeated, None, value)
                 continue
-            row[names.repeated] = [fill(names.values(e, names.inner), inner, names.repeated + ".", n) for n, e in enumerate(elements(value))]
+            row[names.repeated] = [fill(names.values(e, True), inner, names.repeated + ".", n) for n, e in enumerate(elements(value))]
             for lost in _no_elements(value):
                 keep(names.repeated, None, lost)
         return json.dumps(row | {"unheld": unheld})

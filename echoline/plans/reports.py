@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from echoline.operators.copy_diff import CopySpec, compare_copies
-from echoline.operators.schema_drift import consistent_table, drift, union_types
+from echoline.operators.schema_drift import consistent_table, drift, union_schema, union_types
 from echoline.session import table
 
 REPORT_COPIES = CopySpec(
@@ -44,7 +44,13 @@ def p1_types(spark: SparkSession, directory: str) -> DataFrame:
     return union_types(signed, names)
 
 
+def p1_union(spark: SparkSession, directory: str) -> DataFrame:
+    """All delivered reports as one table, cast to the union schema: every field has the type its values in all files promote to."""
+    files, types, (_, _, names) = _drift(spark, directory)
+    return consistent_table(files, names, union_schema(files, names, types))
+
+
 def p1_table(spark: SparkSession, directory: str) -> DataFrame:
-    """All delivered reports as one table with the fields of report_fields."""
+    """All delivered reports as one table with the fields and types of report_fields; what these can't hold stands beside them."""
     files, types, (_, _, names) = _drift(spark, directory)
     return consistent_table(files, names, types)

@@ -99,3 +99,22 @@ def test_no_value_is_lost_from_the_consistent_table(spark):
     both, later = got[len(documents) - 2], got[len(documents) - 1]
     assert (both.version, both.findings[0].lines, [tuple(u) for u in both.unheld]) == (1, 3, [("version", None, "2")])
     assert (later.version, later.unheld) == (5, [])
+
+
+def test_union_schema_holds_every_value(spark):
+    files = [(1, {"version": 1, "total_lines": 3}), (2, {"Version": "1a", "total_lines": 3.5}), (3, {"version": None, "findings": [{"code": True}, {"code": "x", "lines": 2}]})]
+    df = spark.createDataFrame([(n, "f", n, None, json.dumps(p)) for n, p in files], SCHEMA)
+    types = dict(zip(FIELDS, ["integer", "integer", "list", "boolean", "integer"], strict=True))
+    _, _, names = sd.drift(df, FIELDS)
+    union = sd.union_schema(df, names, types)
+    assert union == {"version": "string", "total_lines": "number", "findings": "list", "findings.code": "string", "findings.lines": "integer"}
+    got = {r.run_no: r for r in sd.consistent_table(df, names, union).collect()}
+    assert [got[n].version for n in (1, 2, 3)] == ["1", "1a", None] and [got[n].total_lines for n in (1, 2)] == [3.0, 3.5]
+    assert [e.code for e in got[3].findings] == ["true", "x"] and not any(r.unheld for r in got.values())
+
+
+def test_many_names_stop_nothing(spark):
+    """Every file has a name of its own; none of them comes to the driver."""
+    rows = [(n, f"feed{n % 7}", n, None, json.dumps({"version": 1, f"own_{n}": n})) for n in range(3000)]
+    found, _, names = sd.drift(spark.createDataFrame(rows, SCHEMA), FIELDS)
+    assert names.top == {} and found.where("field_path LIKE 'own%' AND change_kind = 'added'").count() == 3000 - 7
