@@ -111,22 +111,24 @@ def _vocabulary(matrix: DataFrame, options: SubjectOptions) -> tuple[list[str],
     return names, occurrences, documents, counts
 
 
-def _label_counts(matrix: DataFrame, labels: DataFrame, subjects: list[str], options: SubjectOptions) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
-    """For each term the labelled documents it stands in, by subject and in all (last place)."""
+def _label_counts(matrix: DataFrame, labels: DataFrame, subjects: list[str], vocabulary: list[str], options: SubjectOptions) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
+    """For each term of the vocabulary the labelled documents it stands in, by subject and in all (last place)."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects)).distinct()
     sample = known.groupBy("id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("id"), "id").limit(options.max_labelled)
     # at most max_labelled rows, so they may be sent to every executor
     labelled = matrix.join(F.broadcast(sample), "id")
     sums = [F.count_if(F.array_contains("subjects", s)).alias(f"s{i}") for i, s in enumerate(subjects)]
     whole = labelled.agg(*sums, F.count("*").alias("n")).first()
-    rows = labelled.select("subjects", F.explode("terms").alias("term")).groupBy("term").agg(*sums, F.count("*").alias("n")).collect()
+    known_terms = matrix.sparkSession.createDataFrame(pa.table({"term": pa.array(vocabulary, pa.string())}))  # as bounded as the vocabulary
+    each = labelled.select("subjects", F.explode("terms").alias("term")).groupBy("term").agg(*sums, F.count("*").alias("n"))
+    rows = each.join(known_terms, "term", "left_semi").collect()
     return {r["term"]: np.array(r[1:], float) for r in rows}, np.array(whole[:-1], float), whole["n"]
 
 
 def _seed(matrix: DataFrame, labels: DataFrame, subjects: dict[str, str], options: SubjectOptions) -> Factors:
     names, occurrences, documents, sizes = _vocabulary(matrix, options)
     areas = sorted(subjects)
-    by_term, per_subject, n = _label_counts(matrix, labels, areas, options)
+    by_term, per_subject, n = _label_counts(matrix, labels, areas, names, options)
     labelled = np.array([by_term.get(t, np.zeros(len(areas) + 1)) for t in names]).reshape(len(names), len(areas) + 1)
     for i, area in enumerate(areas):  # a subject's description counts as one more labelled document
         for t in {*terms(area), *terms(subjects[area] or "")}:

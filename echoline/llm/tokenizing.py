@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,10 @@ class MergeTable:
     """Byte ids and ranked merges of a tokenizer file, small enough for a broadcast (one entry a merge)."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        with open(path, "rb") as f:
+            text = f.read()
+        self.digest = xxhash.xxh3_128_hexdigest(text)
+        model = json.loads(text)["model"]
         vocab, letters = model["vocab"], byte_letters()
         self.byte_ids = [0] * 256
         for letter, b in letters.items():
@@ -126,13 +129,16 @@ class Encoder:
         return cut
 
 
+#: By digest of the table, so that another file at the same path is another tokenizer.
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str, shared) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(shared.value)
-    return _ENCODERS[path]
+def _encoder(shared) -> Encoder:
+    table = shared.value
+    if table.digest not in _ENCODERS:
+        _ENCODERS.clear()  # a worker keeps the words of one tokenizer
+        _ENCODERS[table.digest] = Encoder(table)
+    return _ENCODERS[table.digest]
 
 
 def _slices(texts: list[str | None], most: int = 1 << 23) -> Iterator[tuple[int, int]]:
@@ -152,7 +158,7 @@ def _over_texts(texts: DataFrame, path: str, schema: str, column: Callable[[Enco
     name = schema.split()[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, shared)
+        encoder = _encoder(shared)
         for batch in batches:
             rows = batch.column("text").to_pylist()
             for a, b in _slices(rows):
