@@ -148,6 +148,16 @@ class Layout:
                 out.extend(_wrapped(own, width))
         return out
 
+    def expansion(self, width: int, least: float) -> float:
+        """Lines of the canonical layout for each found; 0 where it can't reach `least`, which needs no layout to be seen.
+
+        A statement ends at a line's end or at one of three signs, and of its wrapped parts any two neighbours
+        exceed the width, spaces between words, at most one a character, included.
+        """
+        n = max(1, len(self.lines))
+        signs = sum(texts.count(c) for _, _, texts in self.lines for c in ";{}")
+        return len(self.canonical(width)) / n if n + signs + 4 * self.chars / width >= least * n else 0.0
+
     def data(self) -> int:
         """Characters of literals that are no prose."""
         return sum(len(t) for _, kinds, texts in self.lines for k, t in zip(kinds, texts, strict=True) if k == NUMBER or k == STRING and not PROSE.search(t))
@@ -214,7 +224,7 @@ def own_kind(source: str | None, options: ForeignOptions) -> tuple[str | None, L
     layout = Layout(source)
     data = layout.data()
     if layout.chars >= options.minified_chars and data <= options.data_share * layout.chars:
-        expansion = len(layout.canonical(options.width)) / max(1, len(layout.lines))
+        expansion = layout.expansion(options.width, options.minified_lines)
         if expansion >= options.minified_extreme or expansion >= options.minified_lines and 0 < layout.name_length() <= options.minified_name:
             return "minified", layout
     if data >= options.data_chars:
