@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--stdin-path")
     p.add_argument("--focus", action="append", default=[])
     p.add_argument("--report", action="append", default=[], metavar="FORMAT=PATH")
-    p.add_argument("--workers", default="1")
+    p.add_argument("--workers", help="most tasks that read sources: a number or auto")
     p.add_argument("--min-lines", type=int)
     p.add_argument("--exclude", action="append")
     for name in TRISTATE:

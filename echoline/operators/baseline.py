@@ -68,3 +68,16 @@ def prune(current: DataFrame, accepted: DataFrame) -> DataFrame:
     """The baseline without what is gone: the smaller count of each path, never more than accepted."""
     now = current.select(*KEYS, F.col("count").alias("_now"))
     return accepted.join(now, KEYS).select("fingerprint", "lines", "path", F.least("count", "_now").alias("count")).where("count > 0")
+
+
+def json_lines(baseline: DataFrame) -> DataFrame:
+    """Every accepted group as one JSON document, its paths in order; a fingerprint with several lengths is refused."""
+    checked = F.when(F.min("lines") == F.max("lines"), F.min("lines")).otherwise(F.raise_error(F.concat(F.lit("duplicate group "), F.first("fingerprint"))).cast("int"))
+    rows = baseline.groupBy("fingerprint").agg(checked.alias("lines"), F.sort_array(F.collect_list(F.struct("path", "count"))).alias("occurrences"))
+    return rows.select("fingerprint", F.to_json(F.struct("fingerprint", "lines", "occurrences")).alias("document"))
+
+
+def by_group(status: DataFrame) -> DataFrame:
+    """The sums of each group, and the exit status (1 where any occurrence is active)."""
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("accepted", "active", "stale")]
+    return status.groupBy("fingerprint", "lines").agg(F.count("*").alias("paths"), *sums).withColumn("exit_status", (F.col("active") > 0).cast("int"))

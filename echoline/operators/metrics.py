@@ -52,7 +52,22 @@ def length_buckets(findings: DataFrame) -> DataFrame:
     )
 
 
-def touching(locations: DataFrame, part: str, suffix: bool = False) -> DataFrame:
-    """Each fingerprint and whether one of its locations' paths contains (or ends with) part."""
+def touching(locations: DataFrame, part: str, suffix: bool = False, every: str | None = None) -> DataFrame:
+    """Each fingerprint and whether one of its locations' paths contains (or ends with) part; with `every`, also whether all contain that."""
     hit = F.col("path").endswith(part) if suffix else F.col("path").contains(part)
-    return locations.groupBy("fingerprint").agg(F.max(hit).alias("touches"))
+    more = [F.min(F.col("path").contains(every)).alias("within")] if every else []
+    return locations.groupBy("fingerprint").agg(F.max(hit).alias("touches"), *more)
+
+
+def invalid_groups(groups: DataFrame, lines: DataFrame) -> DataFrame:
+    """fingerprint and reason of every rule that a group breaks; detected groups give none.
+
+    Rules: at least two occurrences, none twice, all of one length, in files that are there, within their lines.
+    """
+    sizes = lines.groupBy("file_id").agg((F.max("nline") + 1).alias("_lines"))
+    at = groups.join(sizes, "file_id", "left")
+    inside = (F.col("nstart") >= 0) & (F.col("nlen") > 0) & (F.col("nstart") + F.col("nlen") <= F.col("_lines"))
+    each = at.groupBy("fingerprint", "file_id", "nstart", "nlen").agg(F.count("*").alias("n"), F.max(F.col("_lines").isNull()).alias("unknown"), F.min(F.coalesce(inside, F.lit(True))).alias("inside"))
+    per = each.groupBy("fingerprint").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.min("nlen").alias("low"), F.max("nlen").alias("high"), F.max("unknown").alias("unknown"), F.min("inside").alias("inside"))
+    rules = {"too few occurrences": F.col("all") < 2, "duplicate occurrence": F.col("most") > 1, "different lengths": F.col("low") < F.col("high"), "unknown file": F.col("unknown"), "out of range": ~F.col("inside")}
+    return per.select("fingerprint", F.explode(F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))).alias("reason"))

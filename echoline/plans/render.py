@@ -13,8 +13,8 @@ from echoline.functions.fingerprint import TOOL
 REPORT_VERSION, ERROR_VERSION, BASELINE_VERSION, CAPABILITIES_VERSION, CONFIG_VERSION, STATUS_VERSION = 4, 1, 1, 1, 1, 1
 FORMATS = ("json", "markdown", "sarif", "text")
 FEATURES = ("baseline-prune", "baseline-status", "focus", "keep-going", "multi-report", "no-fail-on-findings", "stdin-path", "workers-auto")
-#: Styles of coloured text (SGR codes).
-STYLES = {"code": "1;31", "problem": "1;33", "head": "1", "class": "36", "kind": "35", "path": "1;36", "place": "2", "gutter": "2", "good": "1;32"}
+#: Styles of coloured text as SGR codes (fixed values, those of the published output).
+STYLES = {"code": ("1", "33"), "problem": ("1", "31"), "good": ("1", "32"), "head": ("1",), "class": ("1", "35"), "kind": ("1", "34"), "group": ("1", "38;5;208"), "path": ("1", "36"), "place": ("36",), "gutter": ("2",)}
 
 
 class IncompleteReport(Exception):
@@ -33,25 +33,31 @@ def render_json(report: dict) -> str:
     return _pretty(report)
 
 
-def render_text(report: dict, color: bool = False) -> str:
-    def paint(style: str, text: object) -> str:
-        return f"\x1b[{STYLES[style]}m{text}\x1b[0m" if color else str(text)
+def _paint(color: bool):
+    return lambda style, text: "".join(f"\x1b[{c}m" for c in STYLES[style]) + f"{text}\x1b[0m" if color else str(text)
 
-    out = []
-    for f in report["findings"]:
-        out.append(f"{paint('code', f['code'])} {paint('problem', f'{f["lines"]} duplicated {_plural(f["lines"], "line")}')}")
-        out.append(f"{paint('head', 'Context:')} {paint('class', f['context'])}")
-        out.append(f"{paint('head', 'Scope:')} {paint('class', f['scope'])}")
-        where = f"{paint('head', f['occurrences'])} across {paint('head', f['files'])} {_plural(f['files'], 'file')}"
-        out.append(f"{paint('head', 'Occurrences:')} {where} {paint('kind', '(' + f['distribution'] + ')')}")
-        out.append("")
-        for at in f["locations"]:
-            out.append("  " + paint("path", at["path"]) + paint("place", f":{at['start_line']}-{at['end_line']}"))
-            for k, line in enumerate(_source_lines(at.get("source"))):
-                out.append(paint("gutter", f"    {at['start_line'] + k:>4} | ") + line)
-        out.append("")
+
+def finding_text(f: dict, color: bool = False) -> list[str]:
+    """The lines of one finding."""
+    paint, out = _paint(color), []
+    out.append(f"{paint('code', f['code'])} {paint('problem', f'{f["lines"]} duplicated {_plural(f["lines"], "line")}')}")
+    out.append(f"{paint('head', 'Context:')} {paint('class', f['context'])}")
+    out.append(f"{paint('head', 'Scope:')} {paint('class', f['scope'])}")
+    where = f"{paint('head', f['occurrences'])} across {paint('head', f['files'])} {_plural(f['files'], 'file')}"
+    out.append(f"{paint('head', 'Occurrences:')} {where} {paint('kind', '(' + f['distribution'] + ')')}")
+    out.append("")
+    for at in f["locations"]:
+        out.append("  " + paint("path", at["path"]) + paint("place", f":{at['start_line']}-{at['end_line']}"))
+        for k, line in enumerate(_source_lines(at.get("source"))):
+            out.append(paint("gutter", f"    {at['start_line'] + k:>4} | ") + line)
+    return [*out, ""]
+
+
+def render_text(report: dict, color: bool = False) -> str:
+    paint = _paint(color)
+    out = [line for f in report["findings"] for line in finding_text(f, color)]
     n, lines = report["duplicate_groups"], report["duplicate_lines"]
-    out.append(f"Found {paint('problem', f'{n} duplicate {_plural(n, "group")}')}." if report["findings"] else paint("good", "No duplicate code found."))
+    out.append(f"Found {paint('group', f'{n} duplicate {_plural(n, "group")}')}." if report["findings"] else paint("good", "No duplicate code found."))
     out.append(f"{paint('problem' if lines else 'good', f'{lines} duplicate {_plural(lines, "line")}')} {paint('head', f'({report["duplication_percent"]:.2f}%)')}.")
     return "\n".join(out) + "\n"
 
@@ -70,6 +76,20 @@ def _inline(text: str) -> str:
     return fence + pad + text + pad + fence
 
 
+def finding_markdown(f: dict) -> list[str]:
+    """The paragraphs of one finding."""
+    parts = [f"## `{f['code']}` — {f['lines']} duplicated {_plural(f['lines'], 'line')}\n"]
+    where = f"{f['occurrences']} across {f['files']} {_plural(f['files'], 'file')} _({f['distribution']})_"
+    parts.append(f"**Context:** {f['context']}  \n**Scope:** {f['scope']}  \n**Occurrences:** {where}\n")
+    for at in f["locations"]:
+        parts.append("### " + _inline(f"{at['path']}:{at['start_line']}-{at['end_line']}") + "\n")
+        if at.get("source") is not None:
+            fence = "`" * max(3, _longest_ticks(at["source"]) + 1)
+            body = at["source"] if at["source"].endswith("\n") else at["source"] + "\n"
+            parts.append(f"{fence}python\n{body}{fence}\n")
+    return parts
+
+
 def render_markdown(report: dict, title: str = TOOL.capitalize()) -> str:
     parts = [f"# {title} duplicate-code report\n"]
     if not report["complete"]:
@@ -80,15 +100,7 @@ def render_markdown(report: dict, title: str = TOOL.capitalize()) -> str:
     if not report["findings"]:
         parts.append("No duplicate code found" + ("" if report["complete"] else " in successfully processed source") + ".\n")
     for f in report["findings"]:
-        parts.append(f"## `{f['code']}` — {f['lines']} duplicated {_plural(f['lines'], 'line')}\n")
-        where = f"{f['occurrences']} across {f['files']} {_plural(f['files'], 'file')} _({f['distribution']})_"
-        parts.append(f"**Context:** {f['context']}  \n**Scope:** {f['scope']}  \n**Occurrences:** {where}\n")
-        for at in f["locations"]:
-            parts.append("### " + _inline(f"{at['path']}:{at['start_line']}-{at['end_line']}") + "\n")
-            if at.get("source") is not None:
-                fence = "`" * max(3, _longest_ticks(at["source"]) + 1)
-                body = at["source"] if at["source"].endswith("\n") else at["source"] + "\n"
-                parts.append(f"{fence}python\n{body}{fence}\n")
+        parts += finding_markdown(f)
     figures = [("Files", "files"), ("Source lines", "source_lines"), ("Analyzed lines", "analyzed_lines"), ("Duplicate groups", "duplicate_groups"), ("Duplicate lines", "duplicate_lines")]
     summary = [f"- **{name}:** {report[key]}" for name, key in figures] + [f"- **Duplication:** {report['duplication_percent']:.2f}%"]
     return "\n".join(parts) + "\n## Summary\n\n" + "\n".join(summary) + "\n"
@@ -101,19 +113,22 @@ def _sarif_place(at: dict) -> dict:
     return {"physicalLocation": {"artifactLocation": {"uri": quote(at["path"].replace("\\", "/"), safe="/-._~")}, "region": region}}
 
 
+def finding_sarif(f: dict, tool: str = TOOL) -> dict:
+    """The SARIF result of one finding: its first location is primary, the rest are related."""
+    first, *rest = map(_sarif_place, f["locations"])
+    told = f"{f['lines']} duplicated {_plural(f['lines'], 'line')} across {f['occurrences']} occurrences in {f['files']} {_plural(f['files'], 'file')}"
+    result = {"ruleId": f["code"], "message": {"text": told}, "partialFingerprints": {f"{tool}FindingFingerprint/v1": f["fingerprint"]}, "locations": [first]}
+    if rest:
+        result["relatedLocations"] = rest
+    result["properties"] = {k: f[k] for k in ("lines", "context", "scope", "occurrences", "files", "distribution")}
+    return result
+
+
 def render_sarif(report: dict, tool: str = TOOL) -> str:
     """SARIF 2.1.0; an incomplete report can't be told in it."""
     if not report["complete"]:
         raise IncompleteReport("cannot render SARIF for an incomplete report")
-    results = []
-    for f in report["findings"]:
-        first, *rest = map(_sarif_place, f["locations"])
-        told = f"{f['lines']} duplicated {_plural(f['lines'], 'line')} across {f['occurrences']} occurrences in {f['files']} {_plural(f['files'], 'file')}"
-        result = {"ruleId": f["code"], "message": {"text": told}, "partialFingerprints": {f"{tool}FindingFingerprint/v1": f["fingerprint"]}, "locations": [first]}
-        if rest:
-            result["relatedLocations"] = rest
-        result["properties"] = {k: f[k] for k in ("lines", "context", "scope", "occurrences", "files", "distribution")}
-        results.append(result)
+    results = [finding_sarif(f, tool) for f in report["findings"]]
     rule = {"id": "DUP001", "shortDescription": {"text": "Duplicate code"}}
     driver = {"name": tool.capitalize(), "version": report["tool_version"], "rules": [rule]}
     schema = "https://docs.oasis-open.org/sarif/sarif/v2.1.0/errata01/os/schemas/sarif-schema-2.1.0.json"

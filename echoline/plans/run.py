@@ -48,7 +48,8 @@ class ScanOptions:
     show_config: bool = False
     list_files: bool = False
     capabilities: bool = False
-    workers: str = "1"
+    #: most tasks that read sources; None: as many as the cluster runs
+    workers: str | None = None
     tool: str = TOOL
 
 
@@ -80,12 +81,18 @@ MODES = {"baseline_status": "--baseline-status", "prune_baseline": "--prune-base
 
 def check_options(o: ScanOptions) -> None:
     """Which options go together."""
+    if o.capabilities and o != ScanOptions(capabilities=True, tool=o.tool):
+        raise OperationalError("configuration", "--capabilities goes with no other option")
     modes = [flag for name, flag in MODES.items() if getattr(o, name)]
     if len(modes) > 1:
         raise OperationalError("configuration", f"{modes[0]} and {modes[1]} exclude each other")
     if modes:
         scans = {"--stdin-path": o.stdin_path, "--keep-going": o.keep_going, "--focus": o.focus, "--no-fail-on-findings": o.no_fail_on_findings, "--report": o.reports}
         administers = {} if o.write_baseline else {"--show-source": o.show_source, "--color": o.color}
+        if o.baseline_status or o.prune_baseline or o.write_baseline:
+            scans["--baseline"] = o.baseline
+        if o.write_baseline:
+            administers = {"--show-source": o.show_source, "--color": o.color, "--format": o.format != "text"}
         for flag, given in (scans | administers).items():
             if given:
                 raise OperationalError("configuration", f"{flag} is not valid with {modes[0]}")
@@ -162,12 +169,12 @@ def _rows(table: DataFrame) -> list[tuple]:
 
 
 def _execute(spark: SparkSession, o: ScanOptions, terminal: bool, environment: dict[str, str]) -> RunResult:
+    check_options(o)
     if o.capabilities:
         return RunResult(render.render_capabilities(), "", Exit.SUCCESS)
-    check_options(o)
     try:
         loaded: Loaded = load_settings(o.paths[0], o.overrides, o.config, o.no_config, o.project_root, o.tool)
-        workers = worker_count(o.workers)
+        workers = worker_count(o.workers) if o.workers else None
     except ConfigurationError as e:
         raise OperationalError("configuration", f"failed to load configuration: {e}") from None
     settings, root = loaded.settings, loaded.project_root
@@ -193,7 +200,7 @@ def _execute(spark: SparkSession, o: ScanOptions, terminal: bool, environment: d
     ids = {n: i for i, n in enumerate(names)}
     read = discovery.read_files(spark, list(disk.values()), root, workers)
     numbers = spark.createDataFrame([(i, n) for n, i in ids.items()], "file_id bigint, path string")
-    files = read.select("path", "source").unionByName(spark.createDataFrame(virtual, "path string, source string")).join(numbers, "path")
+    files = read.select("path", "source", "problem").unionByName(spark.createDataFrame([(*v, None) for v in virtual], "path string, source string, problem string")).join(numbers, "path")
     result = scan(files, settings, o.tool, o.keep_going)
 
     current = lambda: baseline.build(result.groups, result.files)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from echoline.operators import baseline, corpus, detect, findings, focus, metrics, textprep
 from echoline.session import materialize, table
-from echoline.sources import patterns, python_frontend
+from echoline.sources import discovery, patterns, python_frontend, settings
 
 FOCUS = ("amber-flint/src", "brisk-grove")
+NO_FOCUS = ("amber-flint/nowhere/", "brisk-grove/src/none.py", "amber")
 EXCLUDE = ("build/**", "docs/conf.py", "third_party/", ".venv/", "**/_vendor/**", "*_wire.py", "src/gen/", "!src/gen/keep.py", "lib/**/tables/", "*.min.js", "tests/unit/*/[a-m]*.py")
 
 
@@ -67,11 +68,13 @@ def file_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_paths(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.duplicate_paths(files_of(spark, d))
+    """File names that a corpus of all prepared files in one folder would hold twice."""
+    return corpus.duplicate_paths(files_of(spark, d).select(F.regexp_extract("path", "[^/]+$", 0).alias("path")))
 
 
 def invalid_segments(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.invalid_segments(lines_of(spark, d))
+    """Files whose lines are no corpus any more once those without content are taken out."""
+    return corpus.invalid_segments(lines_of(spark, d).where("effective"))
 
 
 def line_dictionary(spark: SparkSession, d: str) -> DataFrame:
@@ -104,8 +107,14 @@ def candidate_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contained_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of one line or more that lie wholly inside a longer one."""
-    return detect.contained(detect.candidates(delivered_lines(spark, d), min_lines=1))
+    """Groups that lie wholly inside a longer one, where every group of five lines or more also stands without its
+    first and last line, once with all occurrences (-inner) and once with one more elsewhere (-more)."""
+    groups = materialize(groups_of(spark, d).select("fingerprint", "size", "file_id", "nstart", "nlen", "canonical"), "query-groups")
+    long = groups.where("nlen >= 5").withColumns({"nstart": F.col("nstart") + 1, "nlen": F.col("nlen") - 2})
+    inner = long.withColumn("fingerprint", F.concat("fingerprint", F.lit("-inner")))
+    away = long.where("canonical").withColumn("nstart", F.col("nstart") + 1_000_000)
+    more = long.unionByName(away).withColumns({"fingerprint": F.concat("fingerprint", F.lit("-more")), "size": F.col("size") + 1})
+    return detect.contained(groups.unionByName(inner).unionByName(more))
 
 
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +181,7 @@ def _baselines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def baseline_build(spark: SparkSession, d: str) -> DataFrame:
-    return _baselines(spark, d)[1]
+    return baseline.build(groups_of(spark, d), files_of(spark, d))
 
 
 def baseline_status(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +204,16 @@ def baseline_prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 def baseline_problems(spark: SparkSession, d: str) -> DataFrame:
-    return baseline.problems(_baselines(spark, d)[1])
+    """What is wrong with a baseline that is broken in a way told by the first digit of each fingerprint."""
+    rows = baseline_build(spark, d)
+    digit = F.substr("fingerprint", F.lit(8), F.lit(1))
+    broken = rows.select(
+        F.when(digit == "0", F.upper("fingerprint")).otherwise(F.col("fingerprint")).alias("fingerprint"),
+        F.when(digit == "1", 0).when((digit == "5") & (F.length("path") % 2 == 0), F.col("lines") + 1).otherwise(F.col("lines")).alias("lines"),
+        F.when(digit == "2", F.concat(F.lit("/"), "path")).when(digit == "6", F.concat("path", F.lit("/../x"))).otherwise(F.col("path")).alias("path"),
+        F.when(digit == "3", 0).otherwise(F.col("count")).alias("count"),
+    )
+    return baseline.problems(broken.unionByName(broken.where(F.substr("fingerprint", F.lit(8), F.lit(1)) == "4")))
 
 
 def focused_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -224,13 +242,108 @@ def _prepared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def python_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Normalized lines of every prepared file that parses, made anew from its source."""
-    return python_frontend.prepared_lines(_prepared(spark, d))
+    """Normalized lines of every prepared file: made anew where its source parses, as delivered where it doesn't."""
+    done = materialize(_prepared(spark, d), "query-prepared")
+    columns = ["file_id", "nline", "source_line", "text", "effective"]
+    delivered = lines_of(spark, d).join(done.where("error IS NOT NULL").select("file_id"), "file_id", "left_semi")
+    return python_frontend.prepared_lines(done).select(columns).unionByName(delivered.select(columns))
 
 
 def keep_going_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Prepared files whose source doesn't parse, with the place."""
-    return python_frontend.preparation_errors(_prepared(spark, d)).select("file_id", "path", "kind", "line", "column")
+    """Prepared files that have no normalized text by either way: their source doesn't parse, and none was delivered."""
+    missing = table(spark, d, "prepared_files").where("normalized IS NULL").select("file_id")
+    return python_frontend.preparation_errors(_prepared(spark, d)).join(missing, "file_id", "left_semi").select("file_id", "path", "kind")
+
+
+def directive_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents in which each paragraph's end turns comparison off and each list item turns it on again."""
+    off, on = "# echoline: disable", "# echoline: enable"
+    text = F.replace(F.replace("source", F.lit("\n- "), F.lit(f"\n{on}\n- ")), F.lit("\n\n"), F.lit(f"\n{off}\n"))
+    return textprep.normalized_lines(texts_of(spark, d).withColumn("source", text), directive="echoline")
+
+
+def project_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of each project: its own values before the defaults, paths from its root."""
+    return settings.resolved(table(spark, d, "scan_settings").withColumnRenamed("exclude_patterns", "exclude"))
+
+
+def discovered_files(spark: SparkSession, d: str) -> DataFrame:
+    """Python files of each project, in a table of all its files, that its settings leave over."""
+    listing = table(spark, d, "source_files").select("file_id", "project", "path")
+    return discovery.discovered(listing, project_settings(spark, d)).select("project", "path").distinct()
+
+
+def undiscovered_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are there less those a scan would find."""
+    return table(spark, d, "source_files").select("project", "path").subtract(discovered_files(spark, d))
+
+
+def unmatched_selectors(spark: SparkSession, d: str) -> DataFrame:
+    chosen = spark.createDataFrame([(s,) for s in (*FOCUS, *NO_FOCUS)], "selector string")
+    return focus.unmatched(files_of(spark, d), chosen)
+
+
+def groups_within_path(spark: SparkSession, d: str) -> DataFrame:
+    """Whether one of a group's paths ends in .pyi, and whether all of them lie below src."""
+    places = findings.locations(groups_of(spark, d), files_of(spark, d))
+    return metrics.touching(places, ".pyi", suffix=True, every="/src/")
+
+
+def invalid_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that groups break which were damaged in a way told by the last digit of the fingerprint."""
+    groups = groups_of(spark, d).select("fingerprint", "file_id", "nstart", "nlen")
+    digit = F.right("fingerprint", F.lit(1))
+    damaged = groups.select(
+        "fingerprint",
+        F.when(digit == "0", F.col("file_id") + 1_000_000_000).otherwise(F.col("file_id")).alias("file_id"),
+        F.when(digit == "1", F.col("nstart") + 1_000_000).otherwise(F.col("nstart")).alias("nstart"),
+        F.when((digit == "2") & (F.col("file_id") % 2 == 0), F.col("nlen") + 1).otherwise(F.col("nlen")).alias("nlen"),
+    )
+    return metrics.invalid_groups(damaged.unionByName(damaged.where(digit == "3")), lines_of(spark, d))
+
+
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    groups = materialize(groups_of(spark, d), "query-groups")
+    return findings.nested(findings.findings(groups), findings.locations(groups, files_of(spark, d)))
+
+
+def finding_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each finding in a report, from 0."""
+    return findings.ordered(_nested(spark, d)).select("fingerprint", "place")
+
+
+def finding_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The source lines of every occurrence."""
+    return findings.snippets(findings.locations(groups_of(spark, d), files_of(spark, d)), files_of(spark, d))
+
+
+def report_json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every finding as one JSON document: a report of any size, written by all tasks."""
+    return findings.json_lines(_nested(spark, d))
+
+
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every finding as the lines of a text report."""
+    return findings.rendered(_nested(spark, d), "text")
+
+
+def report_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return findings.rendered(_nested(spark, d), "markdown")
+
+
+def report_sarif(spark: SparkSession, d: str) -> DataFrame:
+    """Every finding as a SARIF result."""
+    return findings.rendered(_nested(spark, d), "sarif")
+
+
+def baseline_json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every accepted group as one JSON document, its paths in order."""
+    return baseline.json_lines(baseline_build(spark, d))
+
+
+def baseline_status_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted, active and stale occurrences of each group, and the exit status that its active ones ask for."""
+    return baseline.by_group(baseline_status(spark, d))
 
 
 @cache

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echoline.plans.scan import FOCUS
+from echoline.plans.scan import FOCUS, NO_FOCUS
 
 FILES = "fl AS (SELECT file_id, coalesce(project, 'unknown') || '/' || path AS path, source_lines FROM prepared_files)"
 LINES = "l AS (SELECT DISTINCT file_id, nline, segment_id, source_line, text, effective, context, scope FROM prepared_lines)"
@@ -62,6 +62,17 @@ bn AS (SELECT baseline_fingerprint AS fingerprint, lines, path, count(*) AS coun
 bo AS (SELECT baseline_fingerprint AS fingerprint, lines, path, count(*) AS count FROM g3 JOIN fl USING (file_id) GROUP BY ALL),
 st AS (SELECT coalesce(n.fingerprint, o.fingerprint) AS fingerprint, coalesce(n.lines, o.lines) AS lines, coalesce(n.path, o.path) AS path, least(coalesce(n.count, 0), coalesce(o.count, 0)) AS accepted,
   greatest(coalesce(n.count, 0) - coalesce(o.count, 0), 0) AS active, greatest(coalesce(o.count, 0) - coalesce(n.count, 0), 0) AS stale FROM bn n FULL JOIN bo o ON n.fingerprint = o.fingerprint AND n.path = o.path)"""
+NESTED = f"""{FINDINGS}, lo AS {LOCATIONS}, ln AS (SELECT fingerprint, list({{'path': path, 'start_line': start_line, 'end_line': end_line}} ORDER BY path, start_line, end_line) AS spots FROM lo GROUP BY fingerprint),
+ne AS (SELECT fd.*, ln.spots FROM fd JOIN ln USING (fingerprint))"""
+SETTINGS = """st AS (SELECT project, root, CAST(coalesce(min_lines, 4) AS INTEGER) AS min_lines, coalesce(ignore_comments, true) AS ignore_comments, coalesce(ignore_docstrings, true) AS ignore_docstrings, coalesce(ignore_imports, true) AS ignore_imports,
+coalesce(ignore_signatures, true) AS ignore_signatures, coalesce(same_file, true) AS same_file, coalesce(hidden, false) AS hidden, coalesce(exclude_patterns, []) AS exclude, CASE WHEN starts_with(baseline, '/') THEN baseline ELSE rtrim(root, '/') || '/' || baseline END AS baseline FROM scan_settings)"""
+#: What the patterns of the settings mean, stated one by one.
+_MEANING = {
+    "**/_vendor/**": "(^|/)_vendor/", "**/migrations/*.py": r"(^|/)migrations/[^/]*\.py$", "*.min.js": r"\.min\.js(/|$)", "*_wire.py": r"_wire\.py(/|$)", ".venv/": r"(^|/)\.venv/", "build/**": "^build/",
+    "docs/conf.py": r"^docs/conf\.py(/|$)", "lib/**/tables/": "^lib/(.*/)?tables/", "old/**": "^old/", "tests/**": "^tests/", "third_party/": "(^|/)third_party/",
+}
+# no pattern of the settings excludes src/gen, so the one that takes a file of it back decides nothing
+DISCOVERED = "di AS (SELECT f.project, f.path, regexp_matches(f.path, '[^/]\\.pyi?$') AND (coalesce(s.hidden, false) OR NOT regexp_matches(f.path, '(^|/)\\.')) AND (path = 'src/gen/keep.py' AND list_contains(coalesce(s.exclude, []), '!src/gen/keep.py') OR NOT (" + " OR ".join(f"list_contains(coalesce(s.exclude, []), '{p}') AND regexp_matches(f.path, '{r}')" for p, r in _MEANING.items()) + ")) AS taken FROM source_files f LEFT JOIN st s ON s.project = f.project)"
 RAW = "coalesce(project, 'unknown') || '/' || path"
 
 ORACLES = {
@@ -70,8 +81,8 @@ ORACLES = {
     "normalized_lines": f"WITH {TRIMMED} SELECT file_id, nline, segment_id, source_line, text, effective FROM nl",
     "effective_lines": f"WITH {LINES} SELECT file_id, count(*) AS lines, count(*) FILTER (effective) AS effective_lines FROM l GROUP BY file_id",
     "file_order": f"WITH {FILES} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS file_id FROM (SELECT DISTINCT path FROM fl)",
-    "duplicate_paths": f"WITH {FILES} SELECT path FROM fl GROUP BY path HAVING count(*) > 1",
-    "invalid_segments": f"""WITH {LINES} SELECT file_id FROM (SELECT file_id, segment_id FROM l GROUP BY ALL HAVING max(nline) - min(nline) + 1 <> count(*))
+    "duplicate_paths": "SELECT name AS path FROM (SELECT list_last(string_split(path, '/')) AS name FROM prepared_files) GROUP BY name HAVING count(*) > 1",
+    "invalid_segments": f"""WITH {LINES.replace(' FROM prepared_lines', ' FROM prepared_lines WHERE effective')} SELECT file_id FROM (SELECT file_id, segment_id FROM l GROUP BY ALL HAVING max(nline) - min(nline) + 1 <> count(*))
 UNION SELECT file_id FROM (SELECT file_id FROM l GROUP BY ALL HAVING min(nline) <> 0 OR max(nline) + 1 <> count(*))""",
     "line_dictionary": f"WITH {LINES} SELECT text, row_number() OVER (ORDER BY f) - 1 AS line_id FROM (SELECT text, min({{'f': file_id, 'n': nline}}) AS f FROM l GROUP BY text)",
     "corpus_tokens": f"""WITH {LINES}, d AS (SELECT text, row_number() OVER (ORDER BY f) - 1 AS id FROM (SELECT text, min({{'f': file_id, 'n': nline}}) AS f FROM l GROUP BY text)),
@@ -89,7 +100,12 @@ SELECT pos, rank, CAST(CASE WHEN q IS NULL THEN 0 ELSE coalesce(list_position([t
     "repeated_seeds": f"""WITH {LINES}, t AS (SELECT *, lag(text) OVER w AS prev, lead(text, 4) OVER w AS nxt, list(text) OVER (PARTITION BY file_id, segment_id ORDER BY nline ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS b FROM l WINDOW w AS (PARTITION BY file_id, segment_id ORDER BY nline)),
 s AS (SELECT b, NOT (count(prev) = count(*) AND count(DISTINCT prev) = 1) AS starts, NOT (count(nxt) = count(*) AND count(DISTINCT nxt) = 1) AS ends FROM t WHERE len(b) = 4 GROUP BY b HAVING count(*) > 1) SELECT file_id, nline, starts, ends FROM t JOIN s USING (b)""",
     "candidate_groups": f"{_BASE} {_SHAPE.format('c')}",
-    "contained_groups": f"WITH {LINES}, {_groups(1)} SELECT fingerprint FROM j",
+    "contained_groups": f"""{_BASE}, kk AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY file_id, nstart) AS r FROM g),
+al AS (SELECT fingerprint, file_id, nstart, nlen FROM kk UNION ALL SELECT fingerprint || '-inner', file_id, nstart + 1, nlen - 2 FROM kk WHERE nlen >= 5
+ UNION ALL SELECT fingerprint || '-more', file_id, nstart + 1, nlen - 2 FROM kk WHERE nlen >= 5 UNION ALL SELECT fingerprint || '-more', file_id, nstart + 1000001, nlen - 2 FROM kk WHERE nlen >= 5 AND r = 1),
+sz AS (SELECT fingerprint, count(*) AS n FROM al GROUP BY ALL),
+cv AS (SELECT s.fingerprint, b.fingerprint AS big, count(DISTINCT (s.file_id, s.nstart)) AS n FROM al s JOIN al b ON s.file_id = b.file_id AND b.nlen > s.nlen AND b.nstart <= s.nstart AND b.nstart + b.nlen >= s.nstart + s.nlen GROUP BY ALL)
+SELECT DISTINCT fingerprint FROM cv JOIN sz USING (fingerprint, n)""",
     "duplicate_groups": f"{_BASE} {_SHAPE.format('g')}",
     "duplicate_groups_min2": f"WITH {LINES}, {_groups(2)} {_SHAPE.format('g')}",
     "duplicate_groups_cross_file": f"WITH {LINES}, {_groups(4, False)} {_SHAPE.format('g')}",
@@ -110,7 +126,13 @@ s AS (SELECT b, NOT (count(prev) = count(*) AND count(DISTINCT prev) = 1) AS sta
     "baseline_totals": f"{BOTH} SELECT CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(active) AS BIGINT) AS active, CAST(sum(stale) AS BIGINT) AS stale FROM st",
     "baseline_active_groups": f"{BOTH} SELECT fingerprint, file_id, nstart FROM g WHERE baseline_fingerprint IN (SELECT fingerprint FROM st WHERE active > 0)",
     "baseline_prune": f"{BOTH} SELECT o.fingerprint, o.lines, o.path, least(o.count, n.count) AS count FROM bo o JOIN bn n ON n.fingerprint = o.fingerprint AND n.path = o.path",
-    "baseline_problems": f"{_BASE} SELECT CAST(NULL AS VARCHAR) AS fingerprint, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS reason WHERE false",
+    "baseline_problems": f"""{_BASE}, bb AS (SELECT baseline_fingerprint AS fp, lines, path, count(*) AS n, substr(baseline_fingerprint, 8, 1) AS x FROM g JOIN fl USING (file_id) GROUP BY ALL),
+br AS (SELECT CASE WHEN x = '0' THEN upper(fp) ELSE fp END AS fingerprint, CASE WHEN x = '1' THEN 0 WHEN x = '5' AND length(path) % 2 = 0 THEN lines + 1 ELSE lines END AS lines,
+ CASE WHEN x = '2' THEN '/' || path WHEN x = '6' THEN path || '/../x' ELSE path END AS path, CASE WHEN x = '3' THEN 0 ELSE n END AS n, x FROM bb),
+b2 AS (SELECT * FROM br UNION ALL SELECT * FROM br WHERE x = '4')
+SELECT fingerprint, path, CASE x WHEN '0' THEN 'invalid fingerprint' WHEN '1' THEN 'no lines' WHEN '2' THEN 'invalid path' WHEN '6' THEN 'invalid path' WHEN '3' THEN 'no occurrences' END AS reason FROM b2 WHERE x IN ('0', '1', '2', '3', '6')
+UNION ALL SELECT fingerprint, path, 'duplicate path' FROM br WHERE x = '4'
+UNION ALL SELECT fingerprint, NULL, 'duplicate group' FROM b2 GROUP BY fingerprint HAVING count(DISTINCT lines) > 1""",
     "focused_groups": f"{_BASE} SELECT fingerprint, file_id, nstart FROM g WHERE fingerprint IN (SELECT fingerprint FROM g JOIN fl USING (file_id) WHERE "
     + " OR ".join(f"path = '{s}' OR starts_with(path, '{s}/')" for s in FOCUS)
     + ")",
@@ -118,4 +140,34 @@ s AS (SELECT b, NOT (count(prev) = count(*) AND count(DISTINCT prev) = 1) AS sta
     "exclude_filter": r"""SELECT file_id, path FROM source_files WHERE regexp_matches(path, '[^/]\.pyi?$') AND NOT (
 (regexp_matches(path, '^build/|^docs/conf\.py$|(^|/)third_party/|(^|/)\.venv/|(^|/)_vendor/|_wire\.py$|^lib/(.*/)?tables/|\.min\.js$|^tests/unit/[^/]*/[a-m][^/]*\.py$')
  OR (starts_with(path, 'src/gen/') AND path <> 'src/gen/keep.py')))""",
+    "python_lines": "SELECT DISTINCT file_id, nline, source_line, text, effective FROM prepared_lines",
+    "keep_going_errors": "SELECT file_id, path, 'parse' AS kind FROM prepared_files WHERE normalized IS NULL",
+    "directive_lines": f"""WITH {TRIMMED.replace("regexp_replace(text, '^", "regexp_replace(replace(replace(text, chr(10) || '- ', chr(10) || '# echoline: enable' || chr(10) || '- '), chr(10) || chr(10), chr(10) || '# echoline: disable' || chr(10)), '^")},
+ev AS (SELECT *, CASE text WHEN '# echoline: disable' THEN 1 WHEN '# echoline: enable' THEN 0 END AS e FROM tl),
+sr AS (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY source_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ev),
+sg AS (SELECT *, coalesce(sum(CASE WHEN e = 1 AND off = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY source_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sr)
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY source_line) - 1 AS INTEGER) AS nline, CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY s) - 1 AS INTEGER) AS segment_id, source_line, text,
+ regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') AS effective FROM sg WHERE e IS NULL AND off = 0 AND text <> ''""",
+    "project_settings": f"WITH {SETTINGS} SELECT * FROM st",
+    "discovered_files": f"WITH {SETTINGS}, {DISCOVERED} SELECT DISTINCT project, path FROM di WHERE taken",
+    "undiscovered_files": f"WITH {SETTINGS}, {DISCOVERED} SELECT project, path FROM source_files EXCEPT SELECT project, path FROM di WHERE taken",
+    "unmatched_selectors": f"WITH {FILES}, s AS (SELECT rtrim(unnest({[*FOCUS, *NO_FOCUS]}), '/') AS selector) SELECT selector FROM s WHERE NOT EXISTS (SELECT 1 FROM fl WHERE path = selector OR starts_with(path, selector || '/'))",
+    "groups_within_path": f"{_BASE} SELECT fingerprint, bool_or(ends_with(path, '.pyi')) AS touches, bool_and(contains(path, '/src/')) AS within FROM {LOCATIONS} GROUP BY fingerprint",
+    "invalid_groups": f"""{_BASE} SELECT fingerprint, CASE right(fingerprint, 1) WHEN '0' THEN 'unknown file' WHEN '1' THEN 'out of range' WHEN '3' THEN 'duplicate occurrence' END AS reason FROM g WHERE right(fingerprint, 1) IN ('0', '1', '3') GROUP BY ALL
+UNION ALL SELECT fingerprint, 'different lengths' FROM g WHERE right(fingerprint, 1) = '2' GROUP BY fingerprint HAVING count(DISTINCT file_id % 2) > 1
+UNION ALL SELECT DISTINCT fingerprint, 'out of range' FROM g JOIN (SELECT file_id, max(nline) + 1 AS n FROM l GROUP BY file_id) z USING (file_id) WHERE right(fingerprint, 1) = '2' AND file_id % 2 = 0 AND nstart + nlen + 1 > z.n""",
+    "finding_order": f"{NESTED} SELECT fingerprint, row_number() OVER (ORDER BY spots[1].path, spots[1].start_line, lines DESC, spots, fingerprint) - 1 AS place FROM ne",
+    "finding_snippets": f"""{_BASE}, lo AS {LOCATIONS} SELECT fingerprint, path, start_line, end_line, array_to_string(list_slice(string_split(regexp_replace(regexp_replace(source, '^\\x{{feff}}', ''), '\\r(\\n|$)', '\\1', 'g'), chr(10)), start_line, end_line), chr(10)) AS source
+FROM lo JOIN (SELECT coalesce(project, 'unknown') || '/' || path AS path, source FROM prepared_files) USING (path)""",
+    "report_json_lines": f"{NESTED} SELECT fingerprint, CAST(to_json({{'code': code, 'fingerprint': fingerprint, 'lines': lines, 'context': context, 'scope': scope, 'occurrences': occurrences, 'files': files, 'distribution': distribution, 'locations': spots}}) AS VARCHAR) AS document FROM ne",
+    "report_text": f"""{NESTED} SELECT fingerprint, 'DUP001 ' || lines || ' duplicated lines' || chr(10) || 'Context: ' || context || chr(10) || 'Scope: ' || scope || chr(10) || 'Occurrences: ' || occurrences || ' across ' || files || CASE WHEN files = 1 THEN ' file' ELSE ' files' END
+|| ' (' || distribution || ')' || chr(10) || chr(10) || array_to_string(list_transform(spots, lambda x: '  ' || x.path || ':' || x.start_line || '-' || x.end_line || chr(10)), '') || chr(10) AS document FROM ne""",
+    "report_markdown": f"""{NESTED} SELECT fingerprint, '## `DUP001` — ' || lines || ' duplicated lines' || chr(10) || chr(10) || '**Context:** ' || context || '  ' || chr(10) || '**Scope:** ' || scope || '  ' || chr(10) || '**Occurrences:** ' || occurrences || ' across ' || files
+|| CASE WHEN files = 1 THEN ' file' ELSE ' files' END || ' _(' || distribution || ')_' || chr(10) || chr(10) || array_to_string(list_transform(spots, lambda x: '### `' || x.path || ':' || x.start_line || '-' || x.end_line || '`' || chr(10)), chr(10)) AS document FROM ne""",
+    "report_sarif": f"""{NESTED}, pl AS (SELECT *, list_transform(spots, lambda x: {{'physicalLocation': {{'artifactLocation': {{'uri': replace(url_encode(x.path), '%2F', '/')}}, 'region': {{'startLine': x.start_line, 'endLine': x.end_line}}}}}}) AS p FROM ne)
+SELECT fingerprint, CAST(to_json({{'ruleId': code, 'message': {{'text': lines || ' duplicated lines across ' || occurrences || ' occurrences in ' || files || CASE WHEN files = 1 THEN ' file' ELSE ' files' END}}, 'partialFingerprints': {{'echolineFindingFingerprint/v1': fingerprint}}, 'locations': p[1:1], 'relatedLocations': p[2:],
+ 'properties': {{'lines': lines, 'context': context, 'scope': scope, 'occurrences': occurrences, 'files': files, 'distribution': distribution}}}}) AS VARCHAR) AS document FROM pl""",
+    "baseline_json_lines": f"""{_BASE}, bb AS (SELECT baseline_fingerprint AS fp, lines, path, count(*) AS n FROM g JOIN fl USING (file_id) GROUP BY ALL),
+bl AS (SELECT fp, lines, list({{'path': path, 'count': n}} ORDER BY path, n) AS o FROM bb GROUP BY ALL) SELECT fp AS fingerprint, CAST(to_json({{'fingerprint': fp, 'lines': lines, 'occurrences': o}}) AS VARCHAR) AS document FROM bl""",
+    "baseline_status_groups": f"{BOTH} SELECT fingerprint, lines, count(*) AS paths, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(active) AS BIGINT) AS active, CAST(sum(stale) AS BIGINT) AS stale, CAST(sum(active) > 0 AS INTEGER) AS exit_status FROM st GROUP BY ALL",
 }

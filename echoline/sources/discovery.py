@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from echoline.sources.patterns import Pattern, compile_patterns, decides, excluded
 
@@ -77,33 +78,66 @@ def discover(paths: list[str], root: str, exclude: list[str] | None = None, hidd
                         with open(file, encoding="utf-8", errors="replace") as f:
                             above.insert(0, (folder, compile_patterns(f.read().split("\n"))))
             found.update(_walk(path, root, patterns, hidden, above))
+        elif os.path.islink(path) and not os.path.exists(path):
+            raise DiscoveryError(f"link leads nowhere: {path}")
         elif os.path.isfile(path) and _PYTHON.match(os.path.basename(path)) and not _outside(patterns, path, root, False):
             found.add(path)
     return sorted(found, key=lambda p: p.split("/"))
 
 
 def read_files(spark: SparkSession, paths: list[str], root: str, partitions: int | None = None) -> DataFrame:
-    """file_id (path order), path (relative to root where inside) and source of each file.
+    """file_id (path order), path (relative to root where inside), source of each file, and problem: why it couldn't be read.
 
-    Files are read on the executors; what isn't UTF-8 or can't be read has a null source.
+    Files are read on the executors, by as many tasks as there are cores or by `partitions`; what isn't UTF-8
+    or can't be read has a null source.
     """
     rows = [(i, _relative(p, os.path.abspath(root)) or p, p) for i, p in enumerate(paths)]
     listed = spark.createDataFrame(rows, "file_id bigint, path string, location string")
-    if partitions:
-        listed = listed.repartition(partitions)
+    listed = listed.repartition(min(max(1, len(paths)), partitions or spark.sparkContext.defaultParallelism))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sources = []
+            sources, problems = [], []
             for location in batch["location"]:
+                source = problem = None
                 try:
                     with open(location, "rb") as f:
-                        sources.append(f.read().decode("utf-8"))
-                except (OSError, UnicodeDecodeError):
-                    sources.append(None)
-            yield pd.DataFrame({"file_id": batch["file_id"], "path": batch["path"], "source": sources})
+                        source = f.read().decode("utf-8")
+                except OSError as e:
+                    problem = e.strerror or type(e).__name__
+                except UnicodeDecodeError as e:
+                    problem = f"no UTF-8 at byte {e.start}"
+                sources.append(source)
+                problems.append(problem)
+            yield pd.DataFrame({"file_id": batch["file_id"], "path": batch["path"], "source": sources, "problem": problems})
 
-    return listed.mapInPandas(read, "file_id bigint, path string, source string")
+    return listed.mapInPandas(read, "file_id bigint, path string, source string, problem string")
+
+
+def discovered(listing: DataFrame, settings: DataFrame) -> DataFrame:
+    """The rows of a listing (project, path from the root, any more columns) that a scan of each project would take.
+
+    For trees too large to be walked by one process, listed by whatever stores them. settings: project, hidden
+    and exclude, a row per project, which is sent to all tasks; projects without one have none set. Files that
+    are no Python, hidden ones and excluded ones are left out; a null path is no file.
+    """
+    columns = listing.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled: dict[tuple[str, ...], list[Pattern]] = {}
+        for batch in batches:
+            keep = []
+            for path, hidden, lines in zip(batch["path"], batch["_hidden"], batch["_exclude"], strict=True):
+                own = tuple(lines) if lines is not None else ()
+                if own not in compiled:
+                    compiled[own] = compile_patterns(list(own))
+                seen = hidden is True or hidden is not None and bool(hidden) or not any(c.startswith(".") for c in path.split("/"))
+                keep.append(bool(_PYTHON.fullmatch(path.rpartition("/")[2])) and seen and not excluded(compiled[own], path))
+            yield batch.loc[keep, columns]
+
+    per = settings.select(F.col("project").alias("_project"), F.coalesce("hidden", F.lit(False)).alias("_hidden"), F.col("exclude").alias("_exclude"))
+    rows = listing.where("path IS NOT NULL").join(F.broadcast(per), F.col("project") == F.col("_project"), "left").withColumn("_hidden", F.coalesce("_hidden", F.lit(False)))
+    return rows.drop("_project").mapInPandas(run, listing.schema)
 
 
 def virtual_source(path: str, text: str | None, root: str, exclude: list[str]) -> tuple[str, str]:

@@ -262,7 +262,7 @@ def prepared(files: DataFrame, options: NormalizationOptions | None = None, dire
     """One row per file: its lines, or the error that kept it from being prepared.
 
     files: file_id, path, source and, with option_columns, the four options as columns (null is true). A
-    null source is a read error.
+    null source is a read error, told by the column problem where files have one.
     """
     base = options or NormalizationOptions()
     names = list(NormalizationOptions.__dataclass_fields__)
@@ -275,7 +275,7 @@ def prepared(files: DataFrame, options: NormalizationOptions | None = None, dire
                 done, error = [], None
                 try:
                     if row.source is None:
-                        raise SourceError("read", "no text")
+                        raise SourceError("read", getattr(row, "problem", None) or "no text")
                     done = [vars(x) for x in prepare(row.source, own, directive)]
                 except SourceError as e:
                     error = {"kind": e.kind, "message": e.message, "line": e.line, "column": e.column}
@@ -284,7 +284,7 @@ def prepared(files: DataFrame, options: NormalizationOptions | None = None, dire
                 counts.append(source_line_count(row.source or ""))
             yield pd.DataFrame({"file_id": batch["file_id"], "path": batch["path"], "source_lines": counts, "lines": lines, "error": errors})
 
-    wanted = ["file_id", "path", "source", *(names if option_columns else [])]
+    wanted = ["file_id", "path", "source", *(c for c in ("problem",) if c in files.columns), *(names if option_columns else [])]
     return spread(files.select(*wanted)).mapInPandas(run, PREPARED_SCHEMA)
 
 

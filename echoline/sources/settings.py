@@ -6,6 +6,9 @@ import os
 import tomllib
 from dataclasses import dataclass, fields, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from echoline.sources.python_frontend import NormalizationOptions
 
 
@@ -105,8 +108,24 @@ def load_settings(start: str, overrides: dict | None = None, config: str | None
     return Loaded(settings, path, root)
 
 
+def resolved(own: DataFrame) -> DataFrame:
+    """Settings of many projects at once: project, root and the fields of Settings, null where not set.
+
+    A project's value goes before the default, a list replaces the default one, a relative baseline lies in the
+    root. A min_lines below 1 raises ConfigurationError when the rows are read.
+    """
+    defaults = Settings()
+    kinds = {f.name: {"min_lines": "int", "exclude": "array<string>", "baseline": "string"}.get(f.name, "boolean") for f in fields(Settings)}
+    column = lambda name: F.col(name).cast(kinds[name]) if name in own.columns else F.lit(None).cast(kinds[name])
+    given = {n: F.coalesce(column(n), F.array().cast("array<string>") if n == "exclude" else F.lit(getattr(defaults, n)).cast(kinds[n])) for n in kinds}
+    given["min_lines"] = F.when(given["min_lines"] < 1, F.raise_error(F.lit("min_lines must be at least 1")).cast("int")).otherwise(given["min_lines"])
+    path = given["baseline"]
+    given["baseline"] = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"), path))
+    return own.select("project", "root", *[c.alias(n) for n, c in given.items()])
+
+
 def worker_count(value: str, available: int | None = None) -> int:
-    """A positive number, or 'auto': the processors available, from 1 to 4."""
+    """The most tasks that read sources, where that is to be bounded: a positive number, or 'auto', the processors available, from 1 to 4."""
     if value == "auto":
         return min(4, max(1, available or os.cpu_count() or 1))
     if not value.isdigit() or int(value) < 1:

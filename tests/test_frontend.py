@@ -64,11 +64,14 @@ def test_prepared_files_are_made_again(spark, data):
     import pandas as pd
 
     from echoline.plans import scan
+    from echoline.sources.python_frontend import prepared_lines
 
-    made = scan.python_lines(spark, data).toPandas().sort_values(["file_id", "nline"])
+    made = prepared_lines(scan._prepared(spark, data)).toPandas().sort_values(["file_id", "nline"])
     given = pd.read_parquet(f"{data}/prepared_files.parquet").set_index("file_id").normalized
     whole = made.groupby("file_id").text.agg("\n".join)
     assert len(whole) > 30 and (whole == given.loc[whole.index]).all()
     lines = pd.read_parquet(f"{data}/prepared_lines.parquet").drop_duplicates().merge(made, on=["file_id", "nline"])
     assert (lines.text_x == lines.text_y).all() and (lines.effective_x == lines.effective_y).all()
-    assert (lines.scope_x == lines.scope_y).mean() > 0.97
+    # the tables call statements of a class body, behind a method, part of the function
+    differ = lines[lines.scope_x != lines.scope_y]
+    assert set(zip(differ.scope_x, differ.scope_y, strict=True)) <= {("function", "class")}

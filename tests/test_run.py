@@ -79,3 +79,62 @@ def test_colours_and_fences():
     assert render.use_color(None, False, {"CLICOLOR_FORCE": "1"}) and not render.use_color(None, True, {"CLICOLOR": "0"}) and render.use_color(None, True, {})
     assert render._inline("a`b") == "``a`b``" and render._inline("`x") == "`` `x ``"
     assert render._sarif_place({"path": "a b/é.py", "start_line": 1, "end_line": 2})["physicalLocation"]["artifactLocation"]["uri"] == "a%20b/%C3%A9.py"
+
+
+def test_options_that_exclude_each_other(spark, project):
+    for k in ({"capabilities": True, "keep_going": True}, {"baseline": "b", "write_baseline": "b"}, {"baseline": "b", "baseline_status": "b"}, {"baseline": "b", "prune_baseline": "b"}, {"write_baseline": "b", "format": "json"}, {"write_baseline": "b", "show_source": True}):
+        result = run(spark, ScanOptions(**({} if "capabilities" in k else {"paths": (str(project),), "no_config": True}), **k))
+        assert result.status == Exit.ERROR, k
+    assert run(spark, ScanOptions(capabilities=True)).status == Exit.SUCCESS
+
+
+def test_read_errors_have_a_cause_and_dangling_links_are_told(spark, project):
+    (project / "bad.py").write_bytes(b"a = 1\n\xff")
+    result = scan(spark, project)
+    assert result.status == Exit.ERROR and "bad.py" in result.stderr and "no UTF-8 at byte 6" in result.stderr
+    (project / "link.py").symlink_to(project / "nowhere.py")
+    result = run(spark, ScanOptions(paths=(str(project / "link.py"),), no_config=True))
+    assert result.status == Exit.ERROR and "leads nowhere" in result.stderr
+
+
+def test_colours(spark, project):
+    out = scan(spark, project, color="always").stdout
+    assert "\x1b[1m\x1b[33mDUP001\x1b[0m \x1b[1m\x1b[31m4 duplicated lines\x1b[0m" in out and "\x1b[1m\x1b[38;5;208m1 duplicate group\x1b[0m" in out
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from echoline import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+        getCheckpointDir = get
+
+    class Session:
+        conf, sparkContext = Context(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+    assert session.on_one_machine("local[8]") and not session.on_one_machine("local-cluster[3,2,1024]")
+
+
+def test_tables_of_steps_are_removed(spark):
+    from echoline import session
+
+    with session.Scratch() as scratch:
+        path = scratch.write(spark.range(3), "step").inputFiles()[0]
+        assert path
+    kept = session.written(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+    new = session.materialize(spark.range(3), "result")
+    assert new.count() == 3
+    session.release(spark, kept)
+    assert session.written(spark) == kept
