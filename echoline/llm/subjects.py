@@ -47,7 +47,8 @@ class SubjectOptions:
     different: int = 2
     #: a term's share among the documents of one language from which it is no subject's own
     common: float = 0.25
-    block: int = 2_000
+    #: documents worked on at once, so few that their entries stay in a core's cache
+    block: int = 250
 
 
 def terms(text: str) -> list[str]:
@@ -180,11 +181,13 @@ def _mix(starts: np.ndarray, term: np.ndarray, count: np.ndarray, weights: np.nd
     sizes = np.diff(np.append(starts, len(term)))
     mixture = np.full((len(starts), weights.shape[1]), 1.0 / weights.shape[1], np.float32)
     for _ in range(rounds + 1):
-        part = given * np.repeat(mixture, sizes, axis=0)
-        part *= (count / np.maximum(part.sum(1), 1e-30))[:, None]
-        mixture = np.add.reduceat(part, starts, axis=0) + 0.01
+        around = np.repeat(mixture, sizes, axis=0)
+        scale = count / np.maximum(np.einsum("ij,ij->i", given, around), 1e-30)
+        mixture = mixture * np.add.reduceat(given * scale[:, None], starts, axis=0) + 0.01
         mixture /= mixture.sum(1, keepdims=True)
-    return part
+    around *= given
+    around *= scale[:, None]
+    return around
 
 
 def _update(matrix: DataFrame, factors: Factors, options: SubjectOptions) -> Factors:
